@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from brindle.session import stage
 from brindle.sources.tables import table, utc_day
 
-from . import cardinality, frequent, percentiles
+from . import cardinality, frequent, languages, leaks, percentiles, tokens
 
 P1_KEYS = ["host", "status"]
 P1_LEVELS = {"host": ["host"], "status": ["status"], "host_status": ["host", "status"]}
@@ -57,6 +57,38 @@ def p3_merged_loads(spark: SparkSession, d: str) -> DataFrame:
     return cardinality.from_registers(cardinality.merge(kept, keys=P3_KEYS), P3_KEYS, P3_LEVELS)
 
 
+def p6_ids(spark: SparkSession, d: str) -> DataFrame:
+    """Token ids of every document by byte_bpe_50k."""
+    return tokens.encode(table(spark, d, "documents"))
+
+
+def p6_decoded(spark: SparkSession, d: str) -> DataFrame:
+    """The texts that come back from the ids: the round trip must be exact."""
+    return tokens.decode(tokens.encode(table(spark, d, "documents")))
+
+
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    """Documents that hold passages of benchmark items, with the items."""
+    return leaks.leaks(table(spark, d, "documents"), table(spark, d, "benchmark"))
+
+
+def p7_items(spark: SparkSession, d: str) -> DataFrame:
+    """Which test items leaked, and into how many documents: every item has a row."""
+    items = table(spark, d, "benchmark").select("item_id", "lang", "split_name")
+    n = p7_found(spark, d).groupBy("item_id").agg(F.count(F.lit(1)).alias("n_docs"))
+    return items.join(n, "item_id", "left").select("item_id", "lang", "split_name", F.coalesce("n_docs", F.lit(0)).alias("n_docs"))
+
+
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    """Documents whose label is missing, names no language or a wrong one, or whose text has several languages, with the languages of the text."""
+    return languages.wrong_labels(table(spark, d, "documents"), languages.fit(table(spark, d, "lang_samples")))
+
+
+def p8_passages(spark: SparkSession, d: str) -> DataFrame:
+    """Every passage of every document with its language and confidence."""
+    return languages.passage_rows(table(spark, d, "documents"), languages.fit(table(spark, d, "lang_samples")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "p1_percentiles": p1_percentiles,
@@ -66,6 +98,12 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "p2_frequent": p2_frequent,
         "p3_distinct": p3_distinct,
         "p3_merged_loads": p3_merged_loads,
+        "p6_ids": p6_ids,
+        "p6_decoded": p6_decoded,
+        "p7_found": p7_found,
+        "p7_items": p7_items,
+        "p8_found": p8_found,
+        "p8_passages": p8_passages,
     }
 
 
@@ -101,4 +139,4 @@ select 'url', url from top500 where url is not null group by url having count(*)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"p1_percentiles": _P1, "p1_merged_loads": _P1, "p1_by_load": _P1_LOAD, "p2_found": _P2}
+    return {"p1_percentiles": _P1, "p1_merged_loads": _P1, "p1_by_load": _P1_LOAD, "p2_found": _P2, "p6_decoded": "select doc_id, coalesce(text, '') as text from documents"}
