@@ -48,6 +48,16 @@ def shared_dir(spark: SparkSession) -> str:
     return f"file://{at}"
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df in at least as many partitions as the session has cores, for steps that compute much per row.
+
+    A table of few small files has fewer scan tasks than there are cores; only such a one is shuffled (round
+    robin, so by no key). A table of many files comes back as it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df._jdf.queryExecution().toRdd().getNumPartitions() < cores else df
+
+
 def stage(df: DataFrame, name: str = "stage") -> DataFrame:
     """Write df to the shared folder and read it back: cuts the lineage, survives the loss of executors.
 
