@@ -5,7 +5,8 @@ coding a character. A document holds an item when at least ``min_words`` success
 in it with at most one word in ``per_edit`` lost, added or changed, remarks of the record not counted.
 
 1. Seeds. A passage of L words with L / per_edit edits keeps a run of at least ``seed`` = 4 item words
-   untouched (14 words, 2 edits: 12 words in 3 runs; longer passages likewise), so every case has a seed.
+   untouched (14 words, 2 edits: 12 words in 3 runs; longer passages likewise), so every case has a seed;
+   runs of fewer than 4 words lose at most 3 words an edit, so its seeds cover at least L - 4 e >= 6 item words.
    All windows of 4 item words are the patterns of a Wu-Manber search whose alphabet is the words:
    the shift table of 2-word blocks skips positions at which no pattern can end (3 words at a time in
    unrelated text), the block that ends a pattern picks a bucket of test strings, and the words are compared directly.
@@ -29,6 +30,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from brindle.session import spread
+
 SEED = 4
 BLOCK = 2
 
@@ -62,6 +65,9 @@ class Matcher:
         self.items = [(i, words(t)) for i, t in items if t]
         self.shift: dict[tuple[str, str], int] = {}
         self.bucket: dict[tuple[str, str], list[tuple[int, int]]] = defaultdict(list)
+        if any((n - n // per_edit) // (n // per_edit + 1) + ((n - n // per_edit) % (n // per_edit + 1) > 0) < SEED for n in range(min_words, min_words + 12 * per_edit)):
+            raise ValueError(f"with these limits a passage need not keep {SEED} successive words untouched")
+        self.least = max(SEED, min(n - SEED * (n // per_edit) for n in range(min_words, min_words + 12 * per_edit)))
         most = SEED - BLOCK + 1
         for k, (_, w) in enumerate(self.items):
             for at in range(len(w) - SEED + 1):
@@ -136,6 +142,16 @@ class Matcher:
                             return True
         return False
 
+    def enough(self, diagonals: dict[int, list[int]]) -> bool:
+        """Do the seeds cover as many item words as those of any case: L - SEED * e at the least L >= min_words with e = L / per_edit edits?"""
+        covered: set[int] = set()
+        for at in diagonals.values():
+            for pos in at:
+                covered.update(range(pos, pos + SEED))
+                if len(covered) >= self.least:
+                    return True
+        return False
+
     def find(self, text: str | None) -> list[int]:
         """Ids of the items that the text holds, each once."""
         if not text:
@@ -147,7 +163,7 @@ class Matcher:
             w = words(version)
             for k, diagonals in self.seeds(w).items():
                 item_id, item = self.items[k]
-                if item_id not in out and self.holds(item, w, diagonals):
+                if item_id not in out and self.enough(diagonals) and self.holds(item, w, diagonals):
                     out.add(item_id)
         return sorted(out)
 
@@ -175,7 +191,7 @@ def leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: s
     give no rows. Texts are searched whole, whatever their length.
     """
     spark = docs.sparkSession
-    source = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("__id"), F.col(text_col).cast("string").alias("__text"))
+    source = spread(docs.where(F.col(text_col).isNotNull())).select(F.col(id_col).alias("__id"), F.col(text_col).cast("string").alias("__text"))
     names = [id_col, item_col]
     schema = T.StructType([T.StructField(id_col, docs.schema[id_col].dataType), T.StructField(item_col, items.schema[item_col].dataType)])
     item_type = schema[1].dataType
