@@ -24,6 +24,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from brindle.session import spread
+
 #: Labelled rows that are read to fit the model, at most.
 MAX_SAMPLES = 20_000
 ORDER = 4
@@ -287,7 +289,7 @@ def passage_rows(docs: DataFrame, samples: Sequence[tuple[str, str]], id_col: st
     text, or one without letters, gives one row with null language and confidence 0. Repeated rows stay;
     texts are read whole; an empty table gives none. The samples are bounded by ``fit``.
     """
-    source = docs.select(F.col(id_col), *[F.col(c) for c in keep], F.col(text_col).cast("string").alias("__text"))
+    source = spread(docs).select(F.col(id_col), *[F.col(c) for c in keep], F.col(text_col).cast("string").alias("__text"))
     shared = docs.sparkSession.sparkContext.broadcast(list(samples))
     schema = T.StructType([*source.schema.fields[:-1], *[T.StructField(n, t) for n, t in PASSAGES]])
     names, width = schema.names, 1 + len(keep)

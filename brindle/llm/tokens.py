@@ -24,6 +24,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from brindle.session import spread
+
 #: Where the public tokenizers' files are; a parameter of every function below.
 TOKENIZERS = "/opt/tokenizers"
 #: Fixed value: the pattern that splits text before the merges of byte_bpe_50k.
@@ -174,7 +176,7 @@ def encode(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", path:
     the driver; the merges go to the executors once (their size is that of the vocabulary), the automaton
     is compiled once in a worker.
     """
-    source = df.select(F.col(id_col), F.col(text_col).cast("string").alias("__text"))
+    source = spread(df).select(F.col(id_col), F.col(text_col).cast("string").alias("__text"))
     shared = df.sparkSession.sparkContext.broadcast(load(path))
     schema = source.select(id_col).withColumn("ids", F.array(F.lit(0))).schema
 
