@@ -5,6 +5,7 @@ from __future__ import annotations
 import argparse
 import json
 import sys
+from dataclasses import replace
 
 from pyspark.sql import SparkSession
 
@@ -125,6 +126,8 @@ def _query(t: Table, a: argparse.Namespace, out) -> int:
         out(json.dumps(info) if a.json else "\n".join(f"{k}: {v}" for k, v in info.items()))
         return 0
     spec = _spec(a)
+    if a.json:
+        spec = replace(spec, totals=False)
     if a.update_info and spec.ints:
         t.index(spec.ints)
     if a.export:

@@ -25,11 +25,11 @@ def layout(low: int, high: int, int_bucket: int = 0) -> tuple[int, int]:
 def edge(v: Column, low: int, high: int, int_bucket: int = 0) -> Column:
     """The lower edge of v's bucket; values past the last bucket count in the last, values below low in the first."""
     width, n = layout(low, high, int_bucket)
-    if high - low >= 1 << 63:
-        index = F.floor((v.cast("decimal(20,0)") - F.lit(low).cast("decimal(20,0)")) / F.lit(width).cast("decimal(20,0)")).cast("bigint")
-    else:
-        index = F.call_function("div", v - F.lit(low), F.lit(width))
-    return F.greatest(F.lit(0), F.least(index, F.lit(n - 1))) * F.lit(width) + F.lit(low)
+    # past 62 bits the differences are computed as decimals, which don't overflow
+    kind = "bigint" if high - low < 1 << 62 and width * n < 1 << 62 else "decimal(20,0)"
+    lit = lambda x: F.lit(str(x)).cast(kind)
+    index = F.call_function("div", v.cast(kind) - lit(low), lit(width))
+    return (F.greatest(lit(0), F.least(index.cast(kind), lit(n - 1))) * lit(width) + lit(low)).cast("bigint")
 
 
 def log_ranges(low: int, high: int) -> list[tuple[int, int]]:

@@ -235,6 +235,9 @@ class Table:
             for f in out:
                 self.files.delete(f)
             self.files.delete(f"{self.path}/cache")
+            for d in self.block_dirs():
+                if not any(n.endswith(".parquet") for n, _, _, _ in self.files.list(d)):
+                    self.files.delete(d)
         return out
 
 
