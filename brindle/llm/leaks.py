@@ -36,25 +36,34 @@ SEED = 4
 BLOCK = 2
 
 _marks = re.compile(r"[̀-ͯ҃-҉­​-‏⁠-⁤﻿]+")
-_joins = re.compile(r"(?<=[^\W_])(?:[-‐‑]\s*\n\s*|[-‐‑'’ʼ´`])(?=[^\W_])")
-_words = re.compile(r"[^\W_]+")
+_word = re.compile(r"[^\W_]+(?:(?:[-‐‑]\s*\n\s*|[-‐‑'’ʼ´`])[^\W_]+)*")
+_inner = re.compile(r"[\W_]+")
 #: A remark of the record: in brackets of either kind, or between spaced dashes with its own final mark.
-_remarks = re.compile(r"\([^()\n]{0,20}(?:[^()]{0,280})\)|\[[^\[\]]{0,300}\]|(?<!\w)[–—-]\s[^–—\n]{1,120}?[!?.…]\s[–—-](?!\w)")
+_remarks = re.compile(r"\([^()]{0,300}\)|\[[^\[\]]{0,300}\]|(?<!\w)[–—-]\s[^–—\n]{1,120}?[!?.…]\s[–—-](?!\w)")
 
 
 def words(text: str) -> list[str]:
-    """The words of a text in the form in which they are compared."""
+    """The words of a text in the form in which they are compared; parts joined by a hyphen, an apostrophe or a hyphenated line end are one word."""
     if text.isascii():
         text = text.lower()
     else:
-        text = _marks.sub("", unicodedata.normalize("NFKD", unicodedata.normalize("NFKD", text).casefold()))
-    return _words.findall(_joins.sub("", text))
+        text = _marks.sub("", unicodedata.normalize("NFKD", text)).casefold()
+    return [w if w.isalnum() else _inner.sub("", w) for w in _word.findall(text)]
 
 
-def without_remarks(text: str) -> str | None:
-    """The text without remarks; None if it has none."""
-    out, n = _remarks.subn(" ", text)
-    return out if n else None
+def versions(text: str) -> list[list[str]]:
+    """The words of the text without its remarks and, if it has any, the words with them."""
+    clean: list[str] = []
+    whole: list[str] = []
+    at = 0
+    for m in _remarks.finditer(text):
+        part = words(text[at : m.start()])
+        clean += part
+        whole += part
+        whole += words(m.group())
+        at = m.end()
+    last = words(text[at:])
+    return [clean + last, whole + last] if at else [last]
 
 
 class Matcher:
@@ -124,8 +133,20 @@ class Matcher:
         return out
 
     def holds(self, item: list[str], text: list[str], diagonals: dict[int, list[int]]) -> bool:
-        """Do the item's seeds in the text extend to a case?"""
+        """Do the item's seeds in the text extend to a case?
+
+        Seeds of a case of L words and e edits cover C >= L - SEED * e item words, and per_edit * e <= L; so C
+        bounds L, and with it the edits worth looking at.
+        """
+        covered: set[int] = set()
+        for at in diagonals.values():
+            for pos in at:
+                covered.update(range(pos, pos + SEED))
+        if len(covered) < self.least:
+            return False
         most = len(item) // self.per_edit
+        if self.per_edit > SEED:
+            most = min(most, len(covered) // (self.per_edit - SEED))
         room = len(item) + most + 1
         for d, at in diagonals.items():
             done = -1
@@ -142,28 +163,15 @@ class Matcher:
                             return True
         return False
 
-    def enough(self, diagonals: dict[int, list[int]]) -> bool:
-        """Do the seeds cover as many item words as those of any case: L - SEED * e at the least L >= min_words with e = L / per_edit edits?"""
-        covered: set[int] = set()
-        for at in diagonals.values():
-            for pos in at:
-                covered.update(range(pos, pos + SEED))
-                if len(covered) >= self.least:
-                    return True
-        return False
-
     def find(self, text: str | None) -> list[int]:
         """Ids of the items that the text holds, each once."""
         if not text:
             return []
         out: set[int] = set()
-        for version in (without_remarks(text), text):
-            if version is None:
-                continue
-            w = words(version)
+        for w in versions(text):
             for k, diagonals in self.seeds(w).items():
                 item_id, item = self.items[k]
-                if item_id not in out and self.enough(diagonals) and self.holds(item, w, diagonals):
+                if item_id not in out and self.holds(item, w, diagonals):
                     out.add(item_id)
         return sorted(out)
 
