@@ -82,7 +82,7 @@ def estimate(regs: DataFrame, keys: Sequence[str], p: int = P) -> DataFrame:
         tau = tau - F.pow(F.lit(1.0) - F.pow(y, F.lit(2.0**-k)), F.lit(2.0)) * 2.0**-k
     z = F.lit(float(m)) * sigma + F.col("__s") + F.when(F.col("__top") > 0, F.lit(float(m)) * tau / 3.0 * 2.0**-q).otherwise(0.0)
     value = F.lit(m * m / (2 * math.log(2))) / z
-    return got.select(*keys, F.round(value).cast("bigint").alias("approx_distinct"), F.lit(1.04 / math.sqrt(m)).alias("std_error"))
+    return got.select(*keys, F.round(F.least(value, F.lit(2.0**62))).cast("bigint").alias("approx_distinct"), F.lit(1.04 / math.sqrt(m)).alias("std_error"))
 
 
 def distinct_counts(df: DataFrame, value: str, keys: Sequence[str], levels: dict[str, Sequence[str]], p: int = P) -> DataFrame:
