@@ -17,7 +17,7 @@ from brindle.session import local_session
 from brindle.sources.ingest import IngestOptions
 from brindle.sources.storage import Table, list_tables
 
-VERSION = {"version": brindle.__version__, "hist": True, "loghist": True, "tdigest": False, "query_cache": True}
+VERSION = {"version": brindle.__version__, "hist": True, "loghist": True, "tdigest": True, "query_cache": True}
 
 
 def parser() -> argparse.ArgumentParser:
@@ -45,7 +45,7 @@ def parser() -> argparse.ArgumentParser:
         c.add_argument(f"-{x}")
     for x in ("limit", "time-bucket", "int-bucket", "distinct-limit"):
         c.add_argument(f"-{x}", type=int)
-    for x in ("time", "sort-asc", "loghist", "tdigest", "samples", "read-log", "json", "info", "tables", "export", "cache-queries", "encode-flags", "decode-flags", "update-info"):
+    for x in ("time", "sort-asc", "loghist", "tdigest", "samples", "read-log", "json", "info", "tables", "export", "cache-queries", "encode-flags", "decode-flags", "update-info", "debug"):
         c.add_argument(f"-{x}", action="store_true")
     c.add_argument("-encode-results", metavar="DIR", help="write the partial result to DIR for aggregate")
     c.add_argument("-prune-sort", help="accepted; results are exact, nothing is pruned")
@@ -141,6 +141,8 @@ def _query(t: Table, a: argparse.Namespace, out) -> int:
         t.files.write(f"{a.encode_results}/spec.json", json.dumps({"spec": spec.to_json(), "extents": ext}))
     else:
         result = t.query(spec, cache=a.cache_queries)
+        if a.debug:
+            result.explain("formatted")
         out(results.to_json(spec, result) if a.json else results.to_text(spec, result))
     return 0
 

@@ -106,6 +106,13 @@ def state(spec: QuerySpec, df: DataFrame, ext: Extents | None = None) -> DataFra
             hi, lo = _halves(v, F.col("__w"))
             sums += [hi.alias(f"__hi{k}"), lo.alias(f"__lo{k}"), F.sum(F.when(v.isNotNull(), F.col("__w"))).alias(f"__n{k}")]
         return rows.groupBy(*keys).agg(*n, *sums)
+    if spec.tdigest:
+        sums = []
+        for k in range(len(spec.ints)):
+            v = F.col(f"__v{k}")
+            hi, lo = _halves(v, F.col("__w"))
+            sums += [hi.alias(f"__hi{k}"), lo.alias(f"__lo{k}"), F.sum(F.when(v.isNotNull(), F.col("__w"))).alias(f"__n{k}"), F.kll_sketch_agg_bigint(v).alias(f"__kll{k}")]
+        return rows.groupBy(*keys).agg(*n, *sums)
     if ext is None:
         raise SpecError("a hist query needs the extents of its int columns")
     entries = []
@@ -125,7 +132,8 @@ def state(spec: QuerySpec, df: DataFrame, ext: Extents | None = None) -> DataFra
 def _same_but(spec: QuerySpec, part: DataFrame) -> tuple[list[str], list[Column]]:
     """Key columns of a state and the aggregates that add it up."""
     keys = [c for c in part.columns if not c.startswith("__") or c in ("__k", "__edge", "__item")]
-    adds = [F.hll_union_agg(c).alias(c) if c == "__sketch" else F.sum(c).alias(c) for c in part.columns if c not in keys]
+    how = lambda c: F.hll_union_agg(c) if c == "__sketch" else F.kll_merge_agg_bigint(c) if c.startswith("__kll") else F.sum(c)
+    adds = [how(c).alias(c) for c in part.columns if c not in keys]
     return keys, adds
 
 
@@ -187,6 +195,24 @@ def _hist_columns(spec: QuerySpec, part: DataFrame) -> DataFrame:
     return groups.groupBy(*_q(keys)).agg(F.max("__count").alias("__count"), F.max("__samples").alias("__samples"), *pick)
 
 
+def _sketch_columns(spec: QuerySpec, part: DataFrame) -> DataFrame:
+    """The hist struct from quantile sketches: percentiles within the sketch's rank error (of unweighted rows), no buckets, stddev 0, exact mean and sum."""
+    cols = []
+    ranks = F.array(*[F.lit(i / 100) for i in range(100)])
+    for k, c in enumerate(spec.ints):
+        hi, lo, n = (F.col(f"__{x}{k}") for x in ("hi", "lo", "n"))
+        parts = F.struct(
+            F.kll_sketch_get_quantile_bigint(f"__kll{k}", ranks).alias("percentiles"),
+            F.create_map().cast("map<string,bigint>").alias("buckets"),
+            F.lit(0.0).alias("stddev"),
+            (_whole(hi, lo) / n).alias("avg"),
+            _whole(hi, lo).alias("sum"),
+            n.alias("samples"),
+        )
+        cols.append(F.when(n > 0, parts).alias(c))
+    return part.where("__samples > 0").select(*_q(_keys(spec)), *cols, "__count", "__samples")
+
+
 def _values(spec: QuerySpec, part: DataFrame) -> DataFrame:
     """Result columns and, for ordering, ``__count``."""
     keys = _q(_keys(spec))
@@ -200,7 +226,7 @@ def _values(spec: QuerySpec, part: DataFrame) -> DataFrame:
         means = [F.when(F.col(f"__n{k}") != 0, _whole(F.col(f"__hi{k}"), F.col(f"__lo{k}")) / F.col(f"__n{k}")).alias(c) for k, c in enumerate(spec.ints)]
         out = part.where("__samples > 0").select(*keys, *means, "__count", "__samples")
     else:
-        out = _hist_columns(spec, part)
+        out = _sketch_columns(spec, part) if spec.tdigest else _hist_columns(spec, part)
     return out.select(*keys, *_q(spec.ints), F.col("__count").alias("Count"), F.col("__samples").alias("Samples"), "__count")
 
 
@@ -272,6 +298,6 @@ def compile_query(spec: QuerySpec, df: DataFrame, ext: Extents | None = None, ta
         return samples(spec, df)
     if spec.distinct_limit > 0 and spec.groups and not spec.ints and not spec.time and not spec.distincts:
         return distinct_groups(spec, df)
-    if spec.op == "hist" and spec.ints and ext is None:
+    if spec.op == "hist" and spec.ints and ext is None and not spec.tdigest:
         ext = extents(df, spec.ints)
     return finish(spec, state(spec, df, ext), limit)

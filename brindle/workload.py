@@ -169,8 +169,7 @@ _add("hist_time", lambda spark, d: _spec(events, op="hist", int="value", time=Tr
 
 def _sketched(spark: SparkSession, d: str) -> DataFrame:
     """The sketch alternative to a histogram: mergeable quantiles with bounded rank error."""
-    probs = F.array(*[F.lit(x / 100) for x in (25, 50, 75, 99)])
-    return hosts(spark, d).where("ping is not null").groupBy("status").agg(F.percentile_approx("ping", probs, 1000).alias("q")).select(F.coalesce("status", F.lit("")).alias("status"), F.posexplode("q").alias("i", "v"))
+    return _spec(hosts, op="hist", tdigest=True, int="ping", group="status")(spark, d).select("status", F.posexplode("ping.percentiles").alias("ip", "v"))
 
 
 _add("tdigest_quantiles", _sketched)

@@ -2,6 +2,7 @@ import math
 import random
 
 import pytest
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from brindle.functions import histogram
@@ -198,3 +199,14 @@ def test_rendering(df):
     assert text.splitlines()[0].split()[:3] == ["8", "(6)", "TOTAL"]
     spec = QuerySpec(time=True)
     assert to_json(spec, compile_query(spec, df)).startswith('{"-3600": [')
+
+
+def test_quantile_sketches(spark):
+    df = spark.range(10001).selectExpr("cast(id % 2 as string) g", "if(id % 100 = 7, null, id) v", "id w")
+    spec = QuerySpec(op="hist", tdigest=True, groups=("g",), ints=("v", "w"))
+    for got in (compile_query(spec, df), plan.finish(spec, plan.merge(spec, *[plan.state(spec, df.where(f"w % 3 = {k}")) for k in range(3)]))):
+        for r in got.collect():
+            assert all(abs(p - 100 * i) < 300 for i, p in enumerate(r["w"]["percentiles"])) and len(r["v"]["percentiles"]) == 100
+            assert r["w"]["avg"] == 5000.0 and r["w"]["stddev"] == 0.0 and r["w"]["buckets"] == {}
+    none = df.select("g", F.lit(None).cast("bigint").alias("v"), "w")
+    assert [r["v"] for r in compile_query(spec, none).collect()] == [None, None]
