@@ -64,7 +64,10 @@ def bisect(counts: DataFrame, keys: Sequence[str], permille: Sequence[int] = PER
     A group without values has no row. The full int64 range is handled: where max - min does not fit, the
     domain is split at zero and each half is offset on its own.
     """
-    keys = list(keys)
+    names, types = list(keys), {k: counts.schema[k].dataType for k in keys}
+    # every key as a text and a null flag, neither ever null: joins and windows then agree on one partitioning
+    keys = [f"__{x}{k}" for k in range(len(names)) for x in "kn"]
+    counts = counts.select(*[c for k, name in enumerate(names) for c in (F.coalesce(F.col(name).cast("string"), F.lit("")).alias(f"__k{k}"), F.col(name).isNull().alias(f"__n{k}"))], "v", "n")
     lo, hi = counts.agg(F.min("v"), F.max("v")).first()
     lo, hi = (0, 0) if lo is None else (lo, hi)
     wide = hi - lo >= 1 << 62
@@ -100,14 +103,15 @@ def bisect(counts: DataFrame, keys: Sequence[str], permille: Sequence[int] = PER
         part = F.lit(0).cast("bigint") if above == span else F.shiftright(F.col("u"), above - s)
         inside = Window.partitionBy(*keys, "side", "part").orderBy("u").rowsBetween(Window.unboundedPreceding, 0)
         kids = levels[s].withColumn("part", part).withColumn("cum", F.sum("n").over(inside))
-        kids = kids.select(*[F.col(k).alias(f"__{k}") for k in keys], F.col("side").alias("__side"), F.col("part").alias("__part"), "u", F.col("n").alias("__n"), "cum")
-        on = [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys] + [F.col("side") == F.col("__side"), F.col("part") == F.col("__part"), F.col("rank") <= F.col("cum"), F.col("rank") > F.col("cum") - F.col("__n")]
-        active = active.join(kids, on).select(*keys, "side", F.col("u").alias("part"), "pm", "total", (F.col("rank") - F.col("cum") + F.col("__n")).alias("rank"))
+        kids = kids.select(*keys, "side", "part", "u", F.col("n").alias("here"), "cum")
+        inside_rank = (F.col("rank") <= F.col("cum")) & (F.col("rank") > F.col("cum") - F.col("here"))
+        active = active.join(kids, [*keys, "side", "part"]).where(inside_rank).select(*keys, "side", F.col("u").alias("part"), "pm", "total", (F.col("rank") - F.col("cum") + F.col("here")).alias("rank"))
 
     base = F.when(F.col("side") == 0, F.lit(-(1 << 63))).otherwise(F.lit(0)) if wide else F.lit(lo)
     last = shifts[0]
     low = (F.shiftleft(F.col("part"), last) if last else F.col("part")) + base
-    return active.select(*keys, F.col("pm").alias("permille"), F.col("total").alias("n"), low.alias("value"), low.alias("lower"), (low + F.lit((1 << last) - 1)).alias("upper"), F.lit((1 << last) - 1).cast("bigint").alias("max_error"))
+    back = [F.when(~F.col(f"__n{k}"), F.col(f"__k{k}")).cast(types[name]).alias(name) for k, name in enumerate(names)]
+    return active.select(*back, F.col("pm").alias("permille"), F.col("total").alias("n"), low.alias("value"), low.alias("lower"), (low + F.lit((1 << last) - 1)).alias("upper"), F.lit((1 << last) - 1).cast("bigint").alias("max_error"))
 
 
 def percentiles(df: DataFrame, value: str, keys: Sequence[str], levels: dict[str, Sequence[str]], permille: Sequence[int] = PERMILLE, **how: int) -> DataFrame:
