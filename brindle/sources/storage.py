@@ -17,14 +17,13 @@ from __future__ import annotations
 import json
 import uuid
 from collections.abc import Iterable, Mapping
-from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from brindle.plans import compile as plan
-from brindle.plans.spec import COUNT, QuerySpec
+from brindle.plans.spec import QuerySpec
 from brindle.sources import ingest as reading
 from brindle.sources.files import Files
 from brindle.sources.model import ColumnTypeError, to_model
@@ -127,7 +126,9 @@ class Table:
             if dirs:
                 rows = self.spark.read.schema(self.schema()).parquet(*dirs)
                 if time_col in rows.columns:
-                    rows = rows.repartitionByRange(F.col(f"`{time_col}`")).sortWithinPartitions(f"`{time_col}`")
+                    # a hash of the row after the time splits a time that many rows share over several tasks
+                    rest = F.xxhash64(*[F.col(f"`{c}`") for c in rows.columns])
+                    rows = rows.repartitionByRange(F.col(f"`{time_col}`"), rest).sortWithinPartitions(f"`{time_col}`")
                 rows.write.option("maxRecordsPerFile", block_rows).option("compression", "zstd").parquet(out)
         self.files.delete(taken)
 
@@ -201,13 +202,11 @@ class Table:
     def inspect(self, path: str) -> DataFrame:
         """Rows, and least and greatest value per column, of one block directory or file."""
         df = self.spark.read.parquet(path)
-        out = None
-        for c in df.columns:
-            text = F.col(f"`{c}`").cast("string")
-            one = df.agg(F.lit(c).alias("column"), F.lit(df.schema[c].dataType.simpleString()).alias("type"), F.count(F.lit(1)).alias("rows"), F.count(f"`{c}`").alias("present"), F.min(F.col(f"`{c}`")).cast("string").alias("least"), F.max(F.col(f"`{c}`")).cast("string").alias("greatest"))
-            out = one if out is None else out.unionByName(one)
-            del text
-        return out
+        entries = []
+        for f in df.schema.fields:
+            c = F.col(f"`{f.name}`")
+            entries.append(F.struct(F.lit(f.name).alias("column"), F.lit(f.dataType.simpleString()).alias("type"), F.count(F.lit(1)).alias("rows"), F.count(c).alias("present"), F.min(c).cast("string").alias("least"), F.max(c).cast("string").alias("greatest")))
+        return df.agg(F.array(*entries).alias("e")).select(F.inline("e"))
 
     # -- export and retention -----------------------------------------------------------------------
     def export(self, out: str, spec: QuerySpec | None = None) -> None:
@@ -239,8 +238,3 @@ class Table:
                 if not any(n.endswith(".parquet") for n, _, _, _ in self.files.list(d)):
                     self.files.delete(d)
         return out
-
-
-def plain_query(spec: QuerySpec) -> QuerySpec:
-    """Without order and limit."""
-    return replace(spec, sort=COUNT, sort_asc=False, limit=2**31 - 1)
