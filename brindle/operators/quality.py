@@ -18,6 +18,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from brindle.session import stage
+
 
 @dataclass(frozen=True)
 class Rule:
@@ -66,6 +68,19 @@ def apply(counts: DataFrame, *changes: tuple[DataFrame, int], by_load: bool = Fa
     return out.groupBy(*keys).agg(F.sum("n").alias("n")).where("n != 0")
 
 
+class ValueCounts:
+    """The value-count tables, kept by load as a written table; every change writes the next version."""
+
+    def __init__(self) -> None:
+        self.versions: list[DataFrame] = []
+
+    def change(self, delta: DataFrame, sign: int = 1) -> DataFrame:
+        """Add the delta of one or several loads (sign 1) or take it back (-1); the version that results."""
+        kept = self.versions[-1] if self.versions else delta.where("false")
+        self.versions.append(stage(apply(kept, (delta, sign), by_load=True), "value-counts"))
+        return self.versions[-1]
+
+
 def _rules(rules: dict[tuple[str, str], Rule], pick: str, default: str) -> Column:
     """The rule of each row's column as one expression."""
     out = F.expr(default)

@@ -49,32 +49,33 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return rolling.gaps(_versions(spark, d), "host")
 
 
-def _binned(spark: SparkSession, d: str, columns: dict[str, list[str] | None]) -> DataFrame:
-    counts = None
+def _deltas(spark: SparkSession, d: str, columns: dict[str, list[str] | None]) -> DataFrame:
+    out = None
     for name, cols in columns.items():
         part = quality.deltas(table(spark, d, name), name, cols)
-        counts = part if counts is None else counts.unionByName(part)
-    return stage(quality.metrics(counts, RULES), "quality")
+        out = part if out is None else out.unionByName(part)
+    return out
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
-    binned = _binned(spark, d, {"host_generator": ["status"], "people_generator": ["city", "age"]})
-    return quality.findings(quality.compared(binned), RULES)
+    counts = quality.ValueCounts().change(_deltas(spark, d, {"host_generator": ["status"], "people_generator": ["city", "age"]}))
+    return quality.findings(quality.compared(stage(quality.metrics(counts, RULES), "quality")), RULES)
 
 
 def p5_profile(spark: SparkSession, d: str) -> DataFrame:
-    """Every column of host_generator and people_generator, per load."""
-    out = quality.compared(_binned(spark, d, {"host_generator": None, "people_generator": None}))
+    """Every column of host_generator and people_generator, per load; the deltas of all columns at once, so they aren't kept."""
+    counts = _deltas(spark, d, {"host_generator": None, "people_generator": None})
+    out = quality.compared(stage(quality.metrics(counts, RULES), "quality"))
     return out.select("table_name", "column_name", "load_no", "n_rows", "n_null", "n_distinct", "least", "greatest", "first_text", "last_text", "n_bad", *[F.round(c, 6).alias(c) for c in ("null_rate", "bad_rate", "entropy", "drift")])
 
 
 def p5_maintained(spark: SparkSession, d: str) -> DataFrame:
     """Profile from counts maintained by signed deltas: all loads added, the first one taken back."""
-    hosts = table(spark, d, "host_generator")
-    kept = stage(quality.deltas(hosts, "host_generator", ["status", "host"]), "quality-counts")
-    first = kept.agg(F.min("load_no")).first()[0]
-    counts = quality.apply(kept.where("false"), (kept, 1), (kept.where(F.col("load_no") == F.lit(first)), -1))
-    out = quality.profile(quality.metrics(counts, RULES, by=()), by=())
+    kept = quality.ValueCounts()
+    counts = kept.change(_deltas(spark, d, {"host_generator": ["status", "host"]}))
+    first = counts.agg(F.min("load_no")).first()[0]
+    counts = kept.change(counts.where(F.col("load_no") == F.lit(first)), -1)
+    out = quality.profile(quality.metrics(quality.apply(counts), RULES, by=()), by=())
     return out.select("table_name", "column_name", "n_rows", "n_null", "n_distinct", "n_bad", F.round("entropy", 6).alias("entropy"))
 
 

@@ -66,6 +66,15 @@ def test_signed_deltas(spark):
     assert rows(quality.apply(both, (a, -1)).select("value", "n")) == [("200", 3)]
 
 
+def test_kept_versions(spark):
+    kept = quality.ValueCounts()
+    a = quality.deltas(frame(spark, [(1, "200", 1, None, "", ""), (2, "404", 1, None, "", "")]), "t", ["status"])
+    late = quality.deltas(frame(spark, [(2, "404", 1, None, "", "")] * 2), "t", ["status"])
+    kept.change(a)
+    assert rows(kept.change(late).select("load_no", "value", "n")) == [(1, "200", 1), (2, "404", 3)]
+    assert rows(kept.change(a, -1).select("load_no", "value", "n")) == [(2, "404", 2)]
+
+
 def test_empty_and_one_load(spark):
     empty = frame(spark, [])
     counts = quality.deltas(empty, "t")
