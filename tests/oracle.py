@@ -15,3 +15,14 @@ def check(spark, d, name, f, sql):
     want = db.sql(sql)
     assert sorted(df.columns) == sorted(want.columns), name
     assert rows_of(df.columns, df.collect()) == rows_of(want.columns, want.fetchall()), name
+
+
+def plan_text(df):
+    mode = df.sparkSession._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted")
+    return df._jdf.queryExecution().explainString(mode)
+
+
+def no_pairs(df, name):
+    """No step of the plan builds all pairs of rows."""
+    text = plan_text(df)
+    assert "CartesianProduct" not in text and "BroadcastNestedLoopJoin" not in text, name

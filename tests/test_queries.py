@@ -4,7 +4,7 @@ import pytest
 
 from brindle import queries, workload
 from tests.conftest import DATA
-from tests.oracle import check
+from tests.oracle import check, no_pairs, plan_text
 
 ALL = {**workload.QUERIES, **queries.queries()}
 SQL = {**workload.SQL, **queries.oracle_sql()}
@@ -37,3 +37,15 @@ def test_approximate_distinct_is_near(spark):
 
 def test_distinct_limit_gives_any_groups(spark):
     assert ALL["distinct_limit"](spark, str(DATA)).count() == 5
+
+
+@pytest.mark.parametrize("name", sorted(ALL))
+def test_no_plan_builds_pairs(spark, name):
+    no_pairs(ALL[name](spark, str(DATA)), name)
+
+
+def test_scans_read_what_a_query_names(spark):
+    text = plan_text(ALL["w11_avg_host_regex"](spark, str(DATA)))
+    assert "ReadSchema: struct<host:string,ping:bigint>" in text
+    text = plan_text(ALL["filter_int_gt_missing"](spark, str(DATA)))
+    assert "GreaterThan(ping,40)" in text and "ReadSchema: struct<status:string,ping:bigint>" in text
