@@ -2,7 +2,7 @@ import pytest
 
 from brindle.llm import queries
 from tests.conftest import DATA
-from tests.oracle import check
+from tests.oracle import check, no_pairs
 
 pytestmark = pytest.mark.skipif(not DATA.exists(), reason="no test data here")
 
@@ -24,3 +24,8 @@ def test_nothing_else_imports_this_folder():
     for p in (root / "brindle").rglob("*.py"):
         if "llm" not in p.relative_to(root).parts:
             assert "brindle.llm" not in p.read_text() and "from .llm" not in p.read_text(), p
+
+
+@pytest.mark.parametrize("name", sorted(queries.queries()))
+def test_no_plan_builds_pairs(spark, name):
+    no_pairs(queries.queries()[name](spark, str(DATA)), name)
