@@ -17,6 +17,7 @@ that together occur as often; at width >= 5/share and five tables that is below
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from decimal import Decimal
 
 import numpy as np
 import pyarrow as pa
@@ -130,4 +131,5 @@ def frequent(df: DataFrame, fields: Sequence[str], share: float = 0.01, width: i
         one = rows.groupBy(F.when(F.col("bound").isNotNull(), F.col("value")).alias("value"), F.col("bound").alias("approx_count")).agg(F.count(F.lit(1)).alias("n"))
         one = one.withColumn("n_rows", F.sum("n").over(Window.partitionBy(F.lit(1)))).select(F.lit(c).alias("field"), "*")
         out = one if out is None else out.unionByName(one)
-    return out.where(F.col("value").isNotNull() & (F.col("n") >= F.lit(share) * F.col("n_rows")))
+    limit = F.lit(Decimal(str(share))) * F.col("n_rows").cast("decimal(20,0)")  # exact: a share of just the limit counts
+    return out.where(F.col("value").isNotNull() & (F.col("n") >= limit))
