@@ -15,7 +15,7 @@ def as_model(c: Column, kind: T.DataType) -> Column | None:
     """A column in the model: doubles are cut towards zero (null if they don't fit), booleans are 0 or 1, times
     epoch seconds, arrays sets of texts without nulls; None for structs, maps and binary, which have no model type."""
     if isinstance(kind, (T.FloatType, T.DoubleType, T.DecimalType)):
-        return c.try_cast("bigint") if hasattr(c, "try_cast") else c.cast("bigint")
+        return c.try_cast("bigint")
     if isinstance(kind, T.IntegralType):
         return c.cast("bigint")
     if isinstance(kind, T.BooleanType):
@@ -25,8 +25,8 @@ def as_model(c: Column, kind: T.DataType) -> Column | None:
     if isinstance(kind, T.StringType):
         return c.cast("string")
     if isinstance(kind, T.ArrayType) and isinstance(kind.elementType, (T.StringType, T.NumericType)):
-        items = F.transform(c, lambda x: x.cast("string"))
-        return F.array_compact(items)
+        items = c if isinstance(kind.elementType, T.StringType) else F.transform(c, lambda x: x.cast("string"))
+        return F.array_compact(items) if kind.containsNull else items
     return None
 
 
