@@ -91,7 +91,7 @@ for _op, _sql in (("re", ""), ("nre", "not ")):
     _add(f"filter_str_{_op}", _spec(part, group="p_brand", int="p_size", str_filter=f"p_name:{_op}:^[a-m].*e"), f"select p_brand, {_mean('p_size')}, {_N} from part where {_sql}regexp_matches(p_name, '^[a-m].*e') group by 1")
     _add(f"filter_str_{_op}_missing", _spec(hosts, group="status", str_filter=f"host:{_op}:^edge.*example$"), f"select coalesce(status, '') as status, {_N} from host_generator where {_sql}regexp_matches(host, '^edge.*example$') group by 1")
 for _op, _sql in (("in", ""), ("nin", "not ")):
-    _add(f"filter_set_{_op}", _spec(part, group="p_brand", int="p_size", set_filter=f"words:{_op}:green"), f"select p_brand, {_mean('p_size')}, {_N} from part where {_sql}list_contains(string_split(p_name, ' '), 'green') group by 1")
+    _add(f"filter_set_{_op}", _spec(part, group="p_brand", int="p_size", set_filter=f"words:{_op}:red"), f"select p_brand, {_mean('p_size')}, {_N} from part where {_sql}list_contains(string_split(p_name, ' '), 'red') group by 1")
     _add(f"filter_set_{_op}_missing", _spec(hosts, group="status", int="ping", set_filter=f"groups:{_op}:mod2"), f"select coalesce(status, '') as status, {_mean('ping')}, {_N} from host_generator where groups is not null and {_sql}coalesce(list_contains(groups, 'mod2'), false) group by 1")
 _add("filter_combined", _spec(orders, group="o_orderstatus", int="o_totalprice", int_filter="o_totalprice:gt:100000,o_custkey:lt:900", str_filter="o_orderpriority:re:^[12],o_orderstatus:neq:P"), f"with {_O} select o_orderstatus, {_mean('o_totalprice')}, {_N} from o where o_totalprice > 100000 and o_custkey < 900 and regexp_matches(o_orderpriority, '^[12]') and o_orderstatus <> 'P' group by 1")
 _add("filter_other_table", lambda spark, d: compile_query(QuerySpec.from_flags({"group": "o_orderstatus", "limit": ALL, "int-filter": "o_custkey:lt:5:elsewhere,o_custkey:lt:100:orders"}), orders(spark, d), table_name="orders"), f"with {_O} select o_orderstatus, {_N} from o where o_custkey < 100 group by 1")
