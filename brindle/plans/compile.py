@@ -290,6 +290,25 @@ def distinct_groups(spec: QuerySpec, df: DataFrame) -> DataFrame:
     return matching(spec, df).select(*[_text(g).alias(g) for g in spec.groups]).distinct().limit(spec.distinct_limit)
 
 
+#: Top groups of a time query up to which they are broadcast.
+BROADCAST_GROUPS = 10_000
+
+
+def _of_top_groups(spec: QuerySpec, df: DataFrame) -> tuple[QuerySpec, DataFrame]:
+    """The matching rows of the top groups, and the spec that is left to do.
+
+    Ranking groups needs one count (or mean) per group over all time; with that known, only the rows of at
+    most ``limit`` groups are rolled up, instead of every group in every bucket.
+    """
+    rows = matching(spec, df)
+    ranked = QuerySpec(groups=spec.groups, ints=() if spec.sort == COUNT else (spec.sort,), weight_col=spec.weight_col, sort=spec.sort, sort_asc=spec.sort_asc, limit=spec.limit)
+    tops = finish(ranked, state(ranked, rows)).select(*[F.col(f"`{g}`").alias(f"__top{k}") for k, g in enumerate(spec.groups)])
+    if spec.limit <= BROADCAST_GROUPS:
+        tops = F.broadcast(tops)
+    same = [_text(g) == F.col(f"__top{k}") for k, g in enumerate(spec.groups)]
+    return QuerySpec(**{**spec.__dict__, "filters": (), "replaces": ()}), rows.join(tops, same, "left_semi")
+
+
 def compile_query(spec: QuerySpec, df: DataFrame, ext: Extents | None = None, table_name: str | None = None, limit: bool = True) -> DataFrame:
     """The result of a spec on a table in the three-type model. Extents are those of the whole table, computed if not given."""
     spec = spec.for_table(table_name)
@@ -300,4 +319,7 @@ def compile_query(spec: QuerySpec, df: DataFrame, ext: Extents | None = None, ta
         return distinct_groups(spec, df)
     if spec.op == "hist" and spec.ints and ext is None and not spec.tdigest:
         ext = extents(df, spec.ints)
+    if spec.time and limit and spec.sort != "" and spec.groups:
+        spec, df = _of_top_groups(spec, df)
+        return finish(spec, state(spec, df, ext), limit=False)
     return finish(spec, state(spec, df, ext), limit)
