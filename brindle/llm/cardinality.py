@@ -73,13 +73,11 @@ def estimate(regs: DataFrame, keys: Sequence[str], p: int = P) -> DataFrame:
     )
     x = (F.lit(m) - F.col("__used")) / F.lit(float(m))  # share of empty registers
     # sigma(x) = x + sum x^(2^k) 2^(k-1): after p + 7 terms the rest is below double precision unless all registers are empty
-    sigma = x
-    for k in range(1, p + 8):
-        sigma = sigma + F.pow(x, F.lit(2.0**k)) * 2.0 ** (k - 1)
+    terms = lambda n, start, f: F.aggregate(F.sequence(F.lit(1), F.lit(n)), start, lambda acc, k: acc + f(k.cast("double")))
+    two = F.lit(2.0)
+    sigma = terms(p + 7, x, lambda k: F.pow(x, F.pow(two, k)) * F.pow(two, k - 1))
     y = F.lit(1.0) - F.col("__top") / F.lit(float(m))
-    tau = F.lit(1.0) - y
-    for k in range(1, 40):
-        tau = tau - F.pow(F.lit(1.0) - F.pow(y, F.lit(2.0**-k)), F.lit(2.0)) * 2.0**-k
+    tau = terms(39, F.lit(1.0) - y, lambda k: -F.pow(F.lit(1.0) - F.pow(y, F.pow(two, -k)), two) * F.pow(two, -k))
     z = F.lit(float(m)) * sigma + F.col("__s") + F.when(F.col("__top") > 0, F.lit(float(m)) * tau / 3.0 * 2.0**-q).otherwise(0.0)
     value = F.lit(m * m / (2 * math.log(2))) / z
     return got.select(*keys, F.round(F.least(value, F.lit(2.0**62))).cast("bigint").alias("approx_distinct"), F.lit(1.04 / math.sqrt(m)).alias("std_error"))
