@@ -24,10 +24,10 @@ from brindle.session import stage
 @dataclass(frozen=True)
 class Rule:
     """What a column's values should be. good: SQL over ``value`` (text), true if in form; bin: SQL giving the
-    class whose shares are compared between loads (null: not compared). kinds: findings to report."""
+    class whose shares are compared between loads (null: not compared), None: the default of ``metrics``. kinds: findings to report."""
 
     good: str = "true"
-    bin: str = "length(value)"
+    bin: str | None = None
     kinds: tuple[str, ...] = ()
 
 
@@ -81,20 +81,56 @@ class ValueCounts:
         return self.versions[-1]
 
 
-def _rules(rules: dict[tuple[str, str], Rule], pick: str, default: str) -> Column:
-    """The rule of each row's column as one expression."""
-    out = F.expr(default)
+def _rules(rules: dict[tuple[str, str], Rule], pick: str, default: Column, kind: str) -> Column:
+    """The rule of each row's column as one expression of type *kind*."""
+    out = default
     for (table, column), r in rules.items():
-        out = F.when((F.col("table_name") == table) & (F.col("column_name") == column), F.expr(getattr(r, pick))).otherwise(out)
+        if (sql := getattr(r, pick)) is not None:
+            out = F.when((F.col("table_name") == table) & (F.col("column_name") == column), F.expr(sql).cast(kind)).otherwise(out)
     return out
 
 
-def metrics(counts: DataFrame, rules: dict[tuple[str, str], Rule], by: Sequence[str] = ("load_no",)) -> DataFrame:
-    """One row per table, column, *by* and bin with sums that add up over bins; small: bins are classes, not values."""
+def _judged(counts: DataFrame, rules: dict[tuple[str, str], Rule]) -> DataFrame:
+    """Counts with ``good``: the value is not null and in form."""
+    return counts.withColumn("good", F.col("value").isNotNull() & F.coalesce(_rules(rules, "good", F.lit(True), "boolean"), F.lit(False)))
+
+
+def edges(counts: DataFrame, rules: dict[tuple[str, str], Rule], parts: int = 10) -> DataFrame:
+    """``table_name, column_name, edges``: the nearest-rank quantiles k / parts (0 < k < parts) of the first load's values in form of each numeric column.
+
+    Values are ranked inside blocks of 65,536 and the blocks among each other, so that no task sorts a whole column of integers.
+    """
+    keys = ["table_name", "column_name"]
+    rows = _judged(counts.where(F.col("numeric") & F.col("load_no").isNotNull()), rules)
+    # null values count for which load is the first, as in ``compared``
+    first = F.broadcast(rows.groupBy(*keys).agg(F.min("load_no").alias("load_no")))
+    rows = rows.join(first, [*keys, "load_no"]).where("good")
+    rows = rows.select(*keys, F.expr("try_cast(value as double)").alias("v"), "n").withColumn("block", F.floor(F.col("v") / 65536))
+    blocks = rows.groupBy(*keys, "block").agg(F.sum("n").alias("size"))
+    of_column = Window.partitionBy(*keys)
+    so_far = of_column.orderBy("block").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    blocks = blocks.select(*keys, "block", (F.sum("size").over(so_far) - F.col("size")).alias("before"), F.sum("size").over(of_column).alias("total"))
+    inside = Window.partitionBy(*keys, "block").orderBy("v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ranked = rows.join(blocks, [*keys, "block"]).withColumn("up_to", F.col("before") + F.sum("n").over(inside))
+    ranks = F.expr(f"filter(sequence(1, {parts - 1}), k -> (k * total + {parts - 1}) div {parts} between up_to - n + 1 and up_to)")
+    return ranked.where(F.size(ranks) > 0).groupBy(*keys).agg(F.sort_array(F.collect_set("v")).alias("edges"))
+
+
+def metrics(counts: DataFrame, rules: dict[tuple[str, str], Rule], by: Sequence[str] = ("load_no",), bin: str | None = None, first: DataFrame | None = None) -> DataFrame:
+    """One row per table, column, *by* and bin with sums that add up over bins.
+
+    bin: SQL of the bin of columns whose rule has none. None: texts are their own bins, numbers fall between
+    the first load's deciles (``edges``); without load_no in *by* they have no bin. first: the counts of
+    the first load, if they are cheaper to have than from *counts*.
+    """
     value = F.col("value").isNotNull()
     number = F.expr("try_cast(value as double)")
-    rows = counts.withColumn("good", value & F.coalesce(_rules(rules, "good", "true"), F.lit(False)))
-    rows = rows.withColumn("bin", F.when(F.col("good"), _rules(rules, "bin", Rule().bin).cast("string")))
+    rows = _judged(counts, rules)
+    default = F.lit(None).cast("string") if bin is None else F.expr(bin).cast("string")
+    if bin is None and "load_no" in by:
+        rows = rows.join(F.broadcast(edges(counts if first is None else first, rules)), ["table_name", "column_name"], "left")
+        default = F.when(~F.col("numeric"), F.col("value")).otherwise(F.expr("size(filter(edges, e -> e < try_cast(value as double)))").cast("string"))
+    rows = rows.withColumn("bin", F.when(F.col("good"), _rules(rules, "bin", default, "string")))
     return rows.groupBy("table_name", "column_name", *by, "numeric", "bin").agg(
         F.sum("n").alias("n_rows"),
         F.coalesce(F.sum(F.when(~value, F.col("n"))), F.lit(0)).alias("n_null"),

@@ -16,10 +16,13 @@ FIRST_DAY, LAST_DAY = "2024-03-04", "2024-04-28"
 
 RULES = {
     ("host_generator", "status"): quality.Rule("value rlike '\\\\A[1-5][0-9]{2}\\\\z'", "value", ("null_rate", "pattern", "distribution")),
-    ("people_generator", "city"): quality.Rule(r"value rlike '\\A\\p{Lu}[\\p{L} .\\x27-]*\\z'", "length(value)", ("null_rate", "pattern", "distinct")),
+    ("people_generator", "city"): quality.Rule(r"value rlike '\\A\\p{Lu}[\\p{L} .\\x27-]*\\z'", None, ("null_rate", "pattern", "distinct")),
     ("people_generator", "age"): quality.Rule("try_cast(value as bigint) between 0 and 120", "try_cast(value as bigint) div 10", ("null_rate", "range", "distribution")),
 }
 
+#: The bin of columns without classes of their own in p5_found (which reports no drift of them) and p5_profile (whose SQL says so).
+LENGTH = "length(value)"
+
 
 def _daily(spark: SparkSession, d: str, where: str = "true") -> DataFrame:
     return rolling.daily(table(spark, d, "host_generator").where(where), "host", "time", "ping", FIRST_DAY, LAST_DAY)
@@ -59,16 +62,31 @@ def _deltas(spark: SparkSession, d: str, columns: dict[str, list[str] | None]) -
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     counts = quality.ValueCounts().change(_deltas(spark, d, {"host_generator": ["status"], "people_generator": ["city", "age"]}))
-    return quality.findings(quality.compared(stage(quality.metrics(counts, RULES), "quality")), RULES)
+    return quality.findings(quality.compared(stage(quality.metrics(counts, RULES, bin=LENGTH), "quality")), RULES)
 
 
 def p5_profile(spark: SparkSession, d: str) -> DataFrame:
-    """Every column of host_generator and people_generator, per load; the deltas of all columns at once, so they aren't kept."""
+    """Every column of host_generator and people_generator, per load; the deltas of all columns at once, so they aren't kept.
+
+    drift is over lengths where a rule has no bin, as the query's SQL says; ``p5_drift`` has that of the values."""
     counts = _deltas(spark, d, {"host_generator": None, "people_generator": None})
-    out = quality.compared(stage(quality.metrics(counts, RULES), "quality"))
+    out = quality.compared(stage(quality.metrics(counts, RULES, bin=LENGTH), "quality"))
     return out.select("table_name", "column_name", "load_no", "n_rows", "n_null", "n_distinct", "least", "greatest", "first_text", "last_text", "n_bad", *[F.round(c, 6).alias(c) for c in ("null_rate", "bad_rate", "entropy", "drift")])
 
 
+def p5_drift(spark: SparkSession, d: str) -> DataFrame:
+    """Drift of every column from its value counts: over the values of texts and the first load's deciles of numbers, where no rule has classes."""
+    columns = {"host_generator": None, "people_generator": None}
+    first = None
+    for name in columns:
+        rows = table(spark, d, name)
+        low = rows.agg(F.min("load_no")).first()[0]
+        part = quality.deltas(rows.where(F.col("load_no") == F.lit(low)), name)
+        first = part if first is None else first.unionByName(part)
+    out = quality.compared(stage(quality.metrics(_deltas(spark, d, columns), RULES, first=first), "quality"))
+    return out.select("table_name", "column_name", "load_no", "n_good", F.round("drift", 6).alias("drift"))
+
+
 def p5_maintained(spark: SparkSession, d: str) -> DataFrame:
     """Profile from counts maintained by signed deltas: all loads added, the first one taken back."""
     kept = quality.ValueCounts()
@@ -80,7 +98,7 @@ def p5_maintained(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p4_found": p4_found, "p4_rolling": p4_rolling, "p4_versions": p4_versions, "p5_found": p5_found, "p5_profile": p5_profile, "p5_maintained": p5_maintained}
+    return {"p4_found": p4_found, "p4_rolling": p4_rolling, "p4_versions": p4_versions, "p5_found": p5_found, "p5_profile": p5_profile, "p5_drift": p5_drift, "p5_maintained": p5_maintained}
 
 
 _P4 = """
@@ -162,6 +180,21 @@ select table_name, column_name, load_no, n_rows, n_null, n_distinct, least, grea
   round(bad_rate, 6) as bad_rate, round(case when n_rows > n_null then greatest(0, log2(n_rows - n_null) - nlogn / (n_rows - n_null)) end, 6) as entropy,
   round(drift, 6) as drift from z
 """
+_P5_DRIFT = f"""
+with r0 as ({" union all ".join(_P5_COLUMNS)}),
+s as (select table_name, column_name, min(load_no) as load_no from r0 group by 1, 2),
+e as (select table_name, column_name, v, up_to - n as below, up_to, total from (
+  select table_name, column_name, cast(v as double) as v, n, sum(n) over (partition by table_name, column_name order by cast(v as double)) as up_to,
+    sum(n) over (partition by table_name, column_name) as total
+  from r0 join s using (table_name, column_name, load_no) where numeric and good)),
+k as (select distinct table_name, column_name, v from e, range(1, 10) as t(i) where (i * total + 9) // 10 > below and (i * total + 9) // 10 <= up_to),
+kk as (select table_name, column_name, list(v) as edges from k group by 1, 2),
+r as (select r0.* exclude (bin), case when not good then null when column_name in ('status', 'age') then bin when not numeric then v
+    else cast(len(list_filter(edges, lambda x: x < cast(v as double))) as varchar) end as bin
+  from r0 left join kk using (table_name, column_name)),
+{_P5_LOADS}
+select table_name, column_name, load_no, n_good, round(drift, 6) as drift from z
+"""
 _P5_MAINTAINED = """
 with h as (select * from host_generator where load_no > (select min(load_no) from host_generator)),
 r as (select 'status' as column_name, status as v, count(*) as n, coalesce(regexp_full_match(status, '[1-5][0-9]{2}'), false) as good from h group by status
@@ -174,4 +207,4 @@ from r group by column_name
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"p4_found": _P4_FOUND, "p4_rolling": _P4_ROLLING, "p4_versions": _P4_ROLLING, "p5_found": _P5_FOUND, "p5_profile": _P5_PROFILE, "p5_maintained": _P5_MAINTAINED}
+    return {"p4_found": _P4_FOUND, "p4_rolling": _P4_ROLLING, "p4_versions": _P4_ROLLING, "p5_found": _P5_FOUND, "p5_profile": _P5_PROFILE, "p5_drift": _P5_DRIFT, "p5_maintained": _P5_MAINTAINED}

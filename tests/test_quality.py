@@ -81,3 +81,11 @@ def test_empty_and_one_load(spark):
     assert quality.profile(quality.metrics(counts, RULES)).count() == 0
     assert quality.findings(quality.compared(quality.metrics(counts, RULES)), RULES).count() == 0
     assert kinds(spark, [(1, "200", 3, None, "", "")]) == set()
+
+
+def test_drift_sees_values_of_equal_length(spark):
+    data = [(1, "Aaaa", k, None, "", "") for k in range(10, 20)] + [(2, "Bbbb", 19 - k % 2, None, "", "") for k in range(10)] + [(3, "Aaaa", k, None, "", "") for k in range(10, 20)]
+    df = frame(spark, data).selectExpr("load_no", "status as country", "age as ping")
+    got = {(r["column_name"], r["load_no"]): r["drift"] for r in quality.compared(quality.metrics(quality.deltas(df, "t"), RULES)).collect()}
+    want = {("country", 1): 0.0, ("country", 2): 1.0, ("country", 3): 0.0, ("ping", 1): 0.0, ("ping", 2): 0.8, ("ping", 3): 0.0}
+    assert got.keys() == want.keys() and all(math.isclose(got[k], want[k], abs_tol=1e-9) for k in want)
