@@ -37,9 +37,10 @@ def _versions(spark: SparkSession, d: str) -> DataFrame:
     """The current version of the kept state: the first half of the loads as history, then the further loads with their late days and corrections."""
     lo, hi = table(spark, d, "host_generator").agg(F.min("load_no"), F.max("load_no")).first()
     mid = ((lo or 0) + (hi or 0)) // 2
+    load = f"coalesce(load_no, {lo or 0})"  # a row without a load counts as history
     state = rolling.RollingState()
-    state.load(_daily(spark, d, f"load_no <= {mid}"))
-    return state.load(_daily(spark, d, f"load_no > {mid}"))
+    state.load(_daily(spark, d, f"{load} <= {mid}"))
+    return state.load(_daily(spark, d, f"{load} > {mid}"))
 
 
 def p4_versions(spark: SparkSession, d: str) -> DataFrame:

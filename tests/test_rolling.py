@@ -72,3 +72,12 @@ def test_signed_correction(spark):
 def test_gaps(spark):
     data = [("a", (DAY0 + k) * 86400, None, "", 0) for k in (0, 1, 4)]
     assert rows(rolling.gaps(rolling.bootstrap(daily(spark, data)), "host")) == [("a", "2024-03-06"), ("a", "2024-03-07")]
+
+
+def test_versions_hold_rows_without_a_load(spark, tmp_path):
+    from brindle import queries
+
+    data = [("a", DAY0 * 86400, 5, 1), ("a", (DAY0 + 2) * 86400, 6, None), ("a", (DAY0 + 4) * 86400, 7, 2), ("b", DAY0 * 86400, 1, None)]
+    spark.createDataFrame(data, "host string, time bigint, ping bigint, load_no bigint").write.parquet(str(tmp_path / "host_generator.parquet"))
+    assert rows(queries.p4_versions(spark, str(tmp_path))) == rows(queries.p4_rolling(spark, str(tmp_path)))
+    assert rows(queries.p4_found(spark, str(tmp_path))) == [("a", "2024-03-05"), ("a", "2024-03-07")]
