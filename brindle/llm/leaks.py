@@ -40,6 +40,8 @@ _word = re.compile(r"[^\W_]+(?:(?:[-‐‑]\s*\n\s*|[-‐‑'’ʼ´`])[^\W_]+)*
 _inner = re.compile(r"[\W_]+")
 #: A remark of the record: in brackets of either kind, or between spaced dashes with its own final mark.
 _remarks = re.compile(r"\([^()]{0,300}\)|\[[^\[\]]{0,300}\]|(?<!\w)[–—-]\s[^–—\n]{1,120}?[!?.…]\s[–—-](?!\w)")
+#: The same without limits of length: brackets up to their end, one sentence between dashes; both forms across line breaks.
+_wide = re.compile(r"\([^()]*\)|\[[^\[\]]*\]|(?<!\w)[–—-]\s+(?:[^–—]{1,120}?|(?:[^–—!?.…-]|(?<=\w)-|-(?!\s))+)[!?.…]\s+[–—-](?!\w)")
 
 
 def words(text: str) -> list[str]:
@@ -52,18 +54,31 @@ def words(text: str) -> list[str]:
 
 
 def versions(text: str) -> list[list[str]]:
-    """The words of the text without its remarks and, if it has any, the words with them."""
-    clean: list[str] = []
-    whole: list[str] = []
-    at = 0
-    for m in _remarks.finditer(text):
-        part = words(text[at : m.start()])
-        clean += part
-        whole += part
-        whole += words(m.group())
-        at = m.end()
-    last = words(text[at:])
-    return [clean + last, whole + last] if at else [last]
+    """The words of the text without its remarks and, if it has any, the words with them.
+
+    Where the unlimited form takes out something else than the limited one, which happens at brackets or
+    dashes that are no remarks too, the text is given without either.
+    """
+    near = [m.span() for m in _remarks.finditer(text)]
+    wide = [m.span() for m in _wide.finditer(text)]
+    if not near and not wide:
+        return [words(text)]
+    out = []
+    for spans in [near] if near == wide else [near, wide]:
+        if not spans:
+            continue
+        clean: list[str] = []
+        whole: list[str] = []
+        at = 0
+        for a, b in spans:
+            part = words(text[at:a])
+            clean += part
+            whole += part
+            whole += words(text[a:b])
+            at = b
+        last = words(text[at:])
+        out += [clean + last] if out else [clean + last, whole + last]
+    return out
 
 
 class Matcher:

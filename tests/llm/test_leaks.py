@@ -89,3 +89,14 @@ def test_table(spark):
         assert got.columns == ["doc_id", "item_id"]
         assert sorted(map(tuple, got.collect()), key=str) == sorted(want, key=str)
     assert L.leaks(df.limit(0), items).count() == 0 and L.leaks(df, items.limit(0)).count() == 0
+
+
+def test_remarks_across_lines_and_of_any_length():
+    item = [f"w{chr(97 + k)}x" for k in range(15)]
+    m = L.Matcher([(0, " ".join(item))])
+    long = "and they said it again and again " * 12
+    for remark in ("- Ich bitte um \nRuhe! -", "–\nSilence, please!\n–", f"– We heard {long} today! –", f"({long})", f"[Ivaro Lor: {long}]"):
+        assert m.find(" ".join(item[:8]) + f" {remark} " + " ".join(item[8:])) == [0], remark
+    # brackets that are no remark, around a passage with one
+    assert m.find("see (a " + " ".join(item[:8]) + " (Applause.) " + " ".join(item[8:]) + " b)") == [0]
+    assert m.find("see (a " + "unclosed " * 40 + " ".join(item[:8]) + " – Silence! – " + " ".join(item[8:]) + " b)") == [0]
