@@ -34,15 +34,11 @@ def edge(v: Column, low: int, high: int, int_bucket: int = 0) -> Column:
 
 def log_ranges(low: int, high: int) -> list[tuple[int, int]]:
     """The closed ranges of a logarithmic histogram, from the highest down: each half as wide as the one before, the last reaches low."""
-    size, right, out = high - low, high, []
-    t = size
-    while t > NUM_BUCKETS:
-        t >>= 1
-        size >>= 1
-        out.append((right - size, right))
-        right -= size
-    out.append((low, right))
-    return out
+    span = high - low
+    # halvings until at most NUM_BUCKETS is left: range k is span >> k wide
+    halvings = max(0, (span // (NUM_BUCKETS + 1)).bit_length())
+    right = [high - sum(span >> k for k in range(1, j + 1)) for j in range(halvings + 1)]
+    return [*zip(right[1:], right), (low, right[-1])]
 
 
 def log_edge(v: Column, low: int, high: int, int_bucket: int = 0) -> Column:

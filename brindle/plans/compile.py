@@ -8,13 +8,14 @@ Result columns: the groups as text (missing is ""), ``time_bucket`` in a time qu
 (``avg``: its mean; ``hist``: a struct of percentiles, buckets, stddev, avg, sum, samples), then ``Count`` (weighted)
 and ``Samples``; a distinct query has ``Distinct`` and ``Count``, both the cardinality. A group named like one of these
 columns is an error. No matching rows give no result rows, also without groups. Ties in the order are broken by the
-groups (and the bucket), so every limit is deterministic.
+groups (and the bucket), so every limit is deterministic; a query without a limit plans neither order nor limit.
 """
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Iterator, Mapping
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -24,6 +25,7 @@ from brindle.functions.text import replace_all
 from brindle.plans.spec import COUNT, QuerySpec, SpecError
 
 BUCKET = "time_bucket"
+SLICE = "__slice"
 RESERVED = {"Count", "Samples", "Distinct", BUCKET}
 Extents = Mapping[str, tuple[int, int]]
 
@@ -42,12 +44,40 @@ def catalog_of(df: DataFrame) -> dict[str, str]:
     return out
 
 
-def extents(df: DataFrame, columns: tuple[str, ...]) -> dict[str, tuple[int, int]]:
-    """Least and greatest value of int columns over the whole table; (0, 0) for a column without values."""
+#: With skip_outliers, at most one value in so many is left out of the extents at each end.
+OUTLIERS = 200
+
+
+def extents(df: DataFrame, columns: tuple[str, ...], skip_outliers: bool = False) -> dict[str, tuple[int, int]]:
+    """Least and greatest value of int columns over the whole table; (0, 0) for a column without values.
+
+    skip_outliers: the values are counted by sign and number of digits (at most some 40 classes, in one pass);
+    classes at either end that together hold at most one value in ``OUTLIERS`` don't widen the extents. Such
+    values still count: in the histogram they are in its first or last bucket.
+    """
     if not columns:
         return {}
-    row = df.agg(*[f(F.col(f"`{c}`").cast("bigint")).alias(f"{n}{k}") for k, c in enumerate(columns) for n, f in (("a", F.min), ("z", F.max))]).first()
-    return {c: (row[f"a{k}"] or 0, row[f"z{k}"] or 0) for k, c in enumerate(columns)}
+    if not skip_outliers:
+        row = df.agg(*[f(F.col(f"`{c}`").cast("bigint")).alias(f"{n}{k}") for k, c in enumerate(columns) for n, f in (("a", F.min), ("z", F.max))]).first()
+        return {c: (row[f"a{k}"] or 0, row[f"z{k}"] or 0) for k, c in enumerate(columns)}
+    out = {}
+    for c in columns:
+        v = F.col(f"`{c}`").cast("bigint")
+        digits = F.length(v.cast("string"))
+        size = F.when(v < 0, F.lit(1) - digits).otherwise(digits).alias("size")  # of -7, 7, 42: -1, 1, 2
+        got = df.where(v.isNotNull()).groupBy(size).agg(F.count(F.lit(1)).alias("n"), F.min(v).alias("a"), F.max(v).alias("z")).orderBy("size").collect()
+        total = sum(r["n"] for r in got)
+
+        def inside(classes: list) -> list:
+            cut = 0
+            while classes and (cut + classes[0]["n"]) * OUTLIERS <= total:
+                cut += classes[0]["n"]
+                classes = classes[1:]
+            return classes
+
+        kept = inside(inside(got)[::-1])
+        out[c] = (min(r["a"] for r in kept), max(r["z"] for r in kept)) if kept else (0, 0)
+    return out
 
 
 def matching(spec: QuerySpec, df: DataFrame) -> DataFrame:
@@ -63,6 +93,12 @@ def _text(column: str) -> Column:
     return F.coalesce(F.col(f"`{column}`").cast("string"), F.lit(""))
 
 
+def _item(spec: QuerySpec) -> Column:
+    """What a distinct query counts: the tuple of its columns' texts; with several columns each text has its length before it, so no text can run into the next."""
+    parts = [_text(c) for c in spec.distincts]
+    return parts[0] if len(parts) == 1 else F.concat(*[x for p in parts for x in (F.length(p).cast("string"), F.lit(":"), p)])
+
+
 def _keys(spec: QuerySpec) -> list[str]:
     return [*spec.groups, *([BUCKET] if spec.time else [])]
 
@@ -80,20 +116,21 @@ def _whole(hi: Column, lo: Column) -> Column:
     return hi.cast("double") * F.lit(float(1 << 32)) + lo.cast("double")
 
 
-def state(spec: QuerySpec, df: DataFrame, ext: Extents | None = None) -> DataFrame:
-    """The mergeable partial result of the rows of df. ext: extents of the int columns of a hist query, the same for all states that are merged."""
+def state(spec: QuerySpec, df: DataFrame, ext: Extents | None = None, slices: tuple[str, ...] = ()) -> DataFrame:
+    """The mergeable partial result of the rows of df. ext: extents of the int columns of a hist query, the same for all states that are merged.
+
+    slices: columns that are further keys of the state, to keep the states of several slices of the rows apart."""
     if set(_keys(spec)) & (RESERVED - ({BUCKET} if spec.time else set())):
         raise SpecError(f"a group may not be named {sorted(RESERVED)}")
     rows = matching(spec, df)
     w = F.coalesce(F.col(f"`{spec.weight_col}`").cast("bigint"), F.lit(1)) if spec.weight_col else F.lit(1).cast("bigint")
-    cols = [_text(g).alias(g) for g in spec.groups]
+    cols = [*[F.col(c) for c in slices], *[_text(g).alias(g) for g in spec.groups]]
     if spec.time:
         cols.append((F.call_function("div", F.col(f"`{spec.time_col}`").cast("bigint"), F.lit(spec.time_bucket)) * spec.time_bucket).alias(BUCKET))
-    keys = _q(_keys(spec))
+    keys = _q([*slices, *_keys(spec)])
     n = [F.sum("__w").alias("__count"), F.count(F.lit(1)).alias("__samples")]
     if spec.op == "distinct":
-        item = F.concat_ws("\t", *[_text(c) for c in spec.distincts]).alias("__item")
-        rows = rows.select(*cols, item, w.alias("__w"))
+        rows = rows.select(*cols, _item(spec).alias("__item"), w.alias("__w"))
         if spec.exact_distinct:
             return rows.groupBy(*keys, "__item").agg(*n)
         return rows.groupBy(*keys).agg(*n, F.hll_sketch_agg("__item", F.lit(14)).alias("__sketch"))
@@ -146,6 +183,18 @@ def merge(spec: QuerySpec, *parts: DataFrame) -> DataFrame:
     return out.groupBy(*_q(keys)).agg(*adds)
 
 
+def rebucket(spec: QuerySpec, part: DataFrame, ext: Extents) -> DataFrame:
+    """The state of a hist query with the bucket edges of other extents: each old edge falls into its new bucket.
+
+    Counts, means and sums stay exact; percentiles move by at most one old bucket width.
+    """
+    make = histogram.log_edge if spec.loghist else histogram.edge
+    edge = F.lit(None).cast("bigint")
+    for k, c in enumerate(spec.ints):
+        edge = F.when(F.col("__k") == k, make(F.col("__edge"), *ext[c], spec.int_bucket)).otherwise(edge)
+    return merge(spec, part.withColumn("__edge", F.when(F.col("__edge").isNotNull(), edge)))
+
+
 def _without(spec: QuerySpec, part: DataFrame, *names: str) -> DataFrame:
     """A state rolled up to fewer keys."""
     keys, adds = _same_but(spec, part)
@@ -246,16 +295,14 @@ def finish(spec: QuerySpec, part: DataFrame, limit: bool = True) -> DataFrame:
     if not spec.time:
         out = _values(spec, part)
         order = _rank(spec, out)
-        if order:
-            out = out.orderBy(*order)
-        if limit and (order or spec.distinct_limit > 0):
-            out = out.limit(spec.limit)
+        if limit and spec.limit is not None and (order or spec.distinct_limit > 0):
+            out = (out.orderBy(*order) if order else out).limit(spec.limit)
         out = out.drop("__count")
         if spec.totals:
             out = out.withColumn("is_total", F.lit(False)).unionByName(total(spec, part).withColumn("is_total", F.lit(True)))
         return out
     out = _values(spec, part)
-    if limit and spec.sort != "" and spec.groups:
+    if limit and spec.limit is not None and spec.sort != "" and spec.groups:
         flat = QuerySpec(**{**spec.__dict__, "time": False})
         tops = _values(flat, _without(spec, part, BUCKET))
         tops = tops.orderBy(*_rank(spec, tops)).limit(spec.limit).select(*_q(spec.groups))
@@ -271,23 +318,55 @@ def total(spec: QuerySpec, part: DataFrame) -> DataFrame:
 
 
 def samples(spec: QuerySpec, df: DataFrame) -> DataFrame:
-    """Matching rows as they are: the chosen columns (all by default), ordered by -sort, else newest first if there is a time column."""
+    """Matching rows as they are: the chosen columns (all by default), ordered by -sort, else newest first if there is a time column.
+
+    With an empty -sort they are any rows, and the scan stops when it has them."""
     rows = matching(spec, df)
     catalog = catalog_of(rows)
     chosen = [*spec.sample_cols, *spec.ints, *spec.strs, *spec.sets] or list(catalog)
     order = []
     if spec.sort not in ("", COUNT):
         order = [F.col(f"`{spec.sort}`").asc_nulls_last() if spec.sort_asc else F.col(f"`{spec.sort}`").desc_nulls_last()]
-    elif spec.time_col in catalog:
+    elif spec.sort != "" and spec.time_col in catalog:
         order = [F.col(f"`{spec.time_col}`").desc_nulls_last()]
-    if order:
+    if order and spec.limit is not None:
         rows = rows.orderBy(*order)
-    return rows.select(*_q(dict.fromkeys(chosen))).limit(spec.limit)
+    rows = rows.select(*_q(dict.fromkeys(chosen)))
+    return rows if spec.limit is None else rows.limit(spec.limit)
 
 
 def distinct_groups(spec: QuerySpec, df: DataFrame) -> DataFrame:
-    """Any distinct_limit groups; the scan stops when it has them."""
-    return matching(spec, df).select(*[_text(g).alias(g) for g in spec.groups]).distinct().limit(spec.distinct_limit)
+    """Any distinct_limit groups; the scan stops when it has them.
+
+    Each partition gives its first distinct groups and reads no further once it has enough; the partitions are
+    taken step by step, as Spark's take does it. Only if they repeat each other's groups is more asked for.
+    This runs at once: what comes to the driver is at most distinct_limit groups a partition that was read.
+    """
+    n = spec.distinct_limit
+    rows = matching(spec, df).select(*[_text(g).alias(g) for g in spec.groups])
+
+    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[tuple] = set()
+        for batch in batches:
+            new = []
+            for row in zip(*[c.to_pylist() for c in batch.columns]):
+                if row not in seen:
+                    seen.add(row)
+                    new.append(row)
+                    if len(seen) >= n:
+                        break
+            if new:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in zip(*new)], names=batch.schema.names)
+            if len(seen) >= n:
+                return
+
+    some, ask = rows.mapInArrow(first, rows.schema), n
+    while True:
+        got = some.limit(ask).collect()
+        found = list(dict.fromkeys(tuple(r) for r in got))
+        if len(found) >= n or len(got) < ask:
+            return df.sparkSession.createDataFrame(found[:n], rows.schema)
+        ask *= 4
 
 
 #: Top groups of a time query up to which they are broadcast.
@@ -318,8 +397,8 @@ def compile_query(spec: QuerySpec, df: DataFrame, ext: Extents | None = None, ta
     if spec.distinct_limit > 0 and spec.groups and not spec.ints and not spec.time and not spec.distincts:
         return distinct_groups(spec, df)
     if spec.op == "hist" and spec.ints and ext is None and not spec.tdigest:
-        ext = extents(df, spec.ints)
-    if spec.time and limit and spec.sort != "" and spec.groups:
+        ext = extents(df, spec.ints, spec.skip_outliers)
+    if spec.time and limit and spec.limit is not None and spec.sort != "" and spec.groups:
         spec, df = _of_top_groups(spec, df)
         return finish(spec, state(spec, df, ext), limit=False)
     return finish(spec, state(spec, df, ext), limit)

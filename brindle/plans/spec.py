@@ -64,10 +64,11 @@ class QuerySpec:
     time_bucket: int = 3600
     sort: str = COUNT  # $COUNT, an int column (by its mean), or "" for none
     sort_asc: bool = False
-    limit: int = 100
+    limit: int | None = 100  # None: all groups, in no order
     loghist: bool = False
     tdigest: bool = False
     int_bucket: int = 0
+    skip_outliers: bool = False  # hist extents without the few values of the extreme orders of magnitude
     samples: bool = False
     sample_cols: tuple[str, ...] = ()
     distinct_limit: int = -1
@@ -105,8 +106,10 @@ class QuerySpec:
                 raise SpecError(f"a replacement is col{field_sep}pattern{field_sep}replacement: {token!r}")
             replaces.append(Replace(*part))
         plain = {k: f[k] for k in ("op", "weight_col", "time_col", "sort") if k in f}
-        plain |= {k: int(f[k]) for k in ("time_bucket", "limit", "int_bucket", "distinct_limit") if k in f}
-        plain |= {k: bool(f[k]) for k in ("time", "sort_asc", "loghist", "tdigest", "samples", "read_log", "totals", "exact_distinct") if k in f}
+        plain |= {k: int(f[k]) for k in ("time_bucket", "int_bucket", "distinct_limit") if k in f}
+        if "limit" in f:
+            plain["limit"] = None if f["limit"] == "all" else int(f["limit"])
+        plain |= {k: bool(f[k]) for k in ("time", "sort_asc", "loghist", "tdigest", "skip_outliers", "samples", "read_log", "totals", "exact_distinct") if k in f}
         if flags.get("sort") == "":
             plain["sort"] = ""
         return cls(groups=names("group"), ints=names("int"), strs=names("str"), sets=names("set"), distincts=names("distinct"), sample_cols=names("sample_cols"), filters=tuple(filters), replaces=tuple(replaces), **plain)

@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import json
-from datetime import datetime, timezone
+from datetime import datetime
+from zoneinfo import ZoneInfo
 
 from pyspark.sql import DataFrame, Row
 
@@ -40,20 +41,22 @@ def to_json(spec: QuerySpec, df: DataFrame) -> str:
 
 
 def to_text(spec: QuerySpec, df: DataFrame) -> str:
-    """Aligned lines: count, samples if weighted, groups, then means or percentiles; the total first if the result has one."""
+    """Aligned lines: count (or ``Distinct: n``), samples if weighted, groups, then means, or percentiles with the standard
+    deviation; the total first if the result has one. Times are those of the session's time zone."""
     rows = as_dicts(spec, df)
+    zone = ZoneInfo(df.sparkSession.conf.get("spark.sql.session.timeZone"))
     if spec.samples:
         return "\n".join(json.dumps(r, ensure_ascii=False) for r in rows)
     lines = []
     for r in sorted(rows, key=lambda r: (not r.get("is_total", False), r.get(BUCKET, 0))):
-        cells = [datetime.fromtimestamp(r[BUCKET], timezone.utc).strftime("%Y-%m-%d %H:%M:%S")] if BUCKET in r else []
-        cells += [str(r.get("Count", ""))] + ([f"({r['Samples']})"] if spec.weight_col and "Samples" in r else [])
+        cells = [datetime.fromtimestamp(r[BUCKET], zone).strftime("%Y-%m-%d %H:%M:%S")] if BUCKET in r else []
+        cells += [f"Distinct: {r['Distinct']}" if "Distinct" in r else str(r.get("Count", ""))] + ([f"({r['Samples']})"] if spec.weight_col and "Samples" in r else [])
         cells.append("TOTAL" if r.get("is_total") else "\t".join(str(r[g]) for g in spec.groups) or "total")
         for c in spec.ints if spec.op != "distinct" else ():
             v = r.get(c)
             if isinstance(v, dict):
                 p = v.get("percentiles")
-                cells.append(f"{c} " + (f"avg {v['avg']:.2f} " + " ".join(f"p{i} {p[i]}" for i in (0, 25, 50, 75, 99)) if p else "-"))
+                cells.append(f"{c} " + (f"avg {v['avg']:.2f} " + " ".join(f"p{i} {p[i]}" for i in (0, 25, 50, 75, 99)) + f" stddev {v['stddev']:.2f}" if p else "-"))
             else:
                 cells.append(f"{c} " + ("-" if v is None else f"{v:.2f}"))
         lines.append(cells)

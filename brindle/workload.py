@@ -19,7 +19,7 @@ from brindle.sources.model import to_model
 from brindle.sources.storage import Table
 from brindle.sources.tables import table
 
-ALL = 2**31 - 1
+ALL = None
 
 # -- tables in the three-type model ------------------------------------------------------------------
 
@@ -56,7 +56,7 @@ def _mean(c: str) -> str:
 
 def _spec(source: Callable[[SparkSession, str], DataFrame], **spec) -> Callable[[SparkSession, str], DataFrame]:
     """A query of flags over a table."""
-    given = QuerySpec.from_flags({"limit": ALL, **{k.replace("_", "-"): v for k, v in spec.items()}})
+    given = QuerySpec.from_flags({"limit": "all", **{k.replace("_", "-"): v for k, v in spec.items()}})
     return lambda spark, d: compile_query(given, source(spark, d))
 
 
@@ -94,7 +94,7 @@ for _op, _sql in (("in", ""), ("nin", "not ")):
     _add(f"filter_set_{_op}", _spec(part, group="p_brand", int="p_size", set_filter=f"words:{_op}:red"), f"select p_brand, {_mean('p_size')}, {_N} from part where {_sql}list_contains(string_split(p_name, ' '), 'red') group by 1")
     _add(f"filter_set_{_op}_missing", _spec(hosts, group="status", int="ping", set_filter=f"groups:{_op}:mod2"), f"select coalesce(status, '') as status, {_mean('ping')}, {_N} from host_generator where groups is not null and {_sql}coalesce(list_contains(groups, 'mod2'), false) group by 1")
 _add("filter_combined", _spec(orders, group="o_orderstatus", int="o_totalprice", int_filter="o_totalprice:gt:100000,o_custkey:lt:900", str_filter="o_orderpriority:re:^[12],o_orderstatus:neq:P"), f"with {_O} select o_orderstatus, {_mean('o_totalprice')}, {_N} from o where o_totalprice > 100000 and o_custkey < 900 and regexp_matches(o_orderpriority, '^[12]') and o_orderstatus <> 'P' group by 1")
-_add("filter_other_table", lambda spark, d: compile_query(QuerySpec.from_flags({"group": "o_orderstatus", "limit": ALL, "int-filter": "o_custkey:lt:5:elsewhere,o_custkey:lt:100:orders"}), orders(spark, d), table_name="orders"), f"with {_O} select o_orderstatus, {_N} from o where o_custkey < 100 group by 1")
+_add("filter_other_table", lambda spark, d: compile_query(QuerySpec.from_flags({"group": "o_orderstatus", "limit": "all", "int-filter": "o_custkey:lt:5:elsewhere,o_custkey:lt:100:orders"}), orders(spark, d), table_name="orders"), f"with {_O} select o_orderstatus, {_N} from o where o_custkey < 100 group by 1")
 _add("str_replace_group", _spec(part, group="p_brand", int="p_size", str_replace="p_brand:Brand#([0-9])[0-9]:B$1"), f"select regexp_replace(p_brand, 'Brand#([0-9])[0-9]', 'B\\1', 'g') as p_brand, {_mean('p_size')}, {_N} from part group by 1")
 _add("str_replace_filter", _spec(hosts, group="host", str_replace="host:[0-9]+:N", str_filter="host:re:^edge-N"), f"select regexp_replace(host, '[0-9]+', 'N', 'g') as host, {_N} from host_generator where regexp_matches(regexp_replace(host, '[0-9]+', 'N', 'g'), '^edge-N') group by 1")
 

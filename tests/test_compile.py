@@ -8,10 +8,11 @@ from pyspark.sql import types as T
 from brindle.functions import histogram
 from brindle.plans import compile as plan
 from brindle.plans.builder import Query
-from brindle.plans.compile import compile_query
+from brindle.plans.compile import compile_query, extents
 from brindle.plans.spec import Filter, QuerySpec, Replace, SpecError
 from brindle.results import to_json, to_text
 from tests.conftest import rows
+from tests.oracle import plan_text
 
 SCHEMA = T.StructType([T.StructField("id", T.LongType()), T.StructField("age", T.LongType()), T.StructField("name", T.StringType()), T.StructField("tags", T.ArrayType(T.StringType())), T.StructField("w", T.LongType()), T.StructField("time", T.LongType())])
 DATA = [
@@ -210,3 +211,57 @@ def test_quantile_sketches(spark):
             assert r["w"]["avg"] == 5000.0 and r["w"]["stddev"] == 0.0 and r["w"]["buckets"] == {}
     none = df.select("g", F.lit(None).cast("bigint").alias("v"), "w")
     assert [r["v"] for r in compile_query(spec, none).collect()] == [None, None]
+
+
+def test_a_tab_in_a_value_does_not_make_tuples_equal(spark):
+    df = spark.createDataFrame([("a\tb", "c"), ("a", "b\tc"), ("a", "b\tc"), (None, ""), ("", None)], "x string, y string")
+    for exact in (True, False):
+        got = compile_query(QuerySpec(op="distinct", distincts=("x", "y"), exact_distinct=exact), df).first()
+        assert got["Distinct"] == 3
+
+
+def test_distinct_limit_reads_no_further(spark):
+    seen = spark.sparkContext.accumulator(0)
+    df = spark.range(0, 4_000_000, 1, 64).selectExpr("cast(id % 1000 as string) as g", "id")
+
+    def count(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    got = compile_query(QuerySpec(groups=("g",), distinct_limit=5), df.mapInArrow(count, df.schema))
+    assert got.distinct().count() == 5 and seen.value < 400_000
+    few = spark.createDataFrame([("a",), ("b",), (None,), ("",)], "g string").repartition(4)
+    assert sorted(r[0] for r in compile_query(QuerySpec(groups=("g",), distinct_limit=9), few).collect()) == ["", "a", "b"]
+    assert compile_query(QuerySpec(groups=("g",), distinct_limit=9), few.limit(0)).count() == 0
+
+
+def test_no_limit_plans_neither_sort_nor_single_partition(spark):
+    df = spark.range(1000).selectExpr("cast(id % 7 as string) as g", "id as v", "id as time")
+    for spec in (QuerySpec(groups=("g",), ints=("v",), limit=None), QuerySpec(groups=("g",), ints=("v",), op="hist", limit=None), QuerySpec(groups=("g",), time=True, limit=None), QuerySpec(groups=("g",), op="distinct", distincts=("v",), exact_distinct=True, limit=None)):
+        text = plan_text(compile_query(spec, df))
+        assert "SinglePartition" not in text and "rangepartitioning" not in text and "Limit" not in text
+    text = plan_text(compile_query(QuerySpec(groups=("g",), ints=("v",), limit=3), df))
+    assert "TakeOrderedAndProject" in text
+    assert "rangepartitioning" not in plan_text(compile_query(QuerySpec(samples=True, sort="", limit=3), df))
+
+
+def test_extents_without_outliers(spark):
+    df = spark.createDataFrame([(x,) for x in [*range(20, 980), None, -1, -1, 2147483647, 2147483647, 2147483647]], "v bigint")
+    assert extents(df, ("v",)) == {"v": (-1, 2147483647)}
+    assert extents(df, ("v",), True) == {"v": (20, 979)}
+    assert extents(df.where("v > 1000000"), ("v",), True) == {"v": (2147483647, 2147483647)} and extents(df.limit(0), ("v",), True) == {"v": (0, 0)}
+    h = compile_query(QuerySpec(op="hist", ints=("v",), skip_outliers=True), df).first()["v"]
+    assert h["samples"] == 965 and len(set(h["percentiles"])) > 90 and sum(h["buckets"].values()) == 965
+
+
+@pytest.mark.parametrize("kind", ["ints", "few", "skewed"])
+def test_percentiles_are_within_one_of_the_sorted_data(spark, kind):
+    """Spans below 1000 have buckets of width 1."""
+    r = random.Random(3)
+    values = {"ints": [r.randrange(900) for _ in range(300)], "few": [r.randrange(10, 30) for _ in range(300)], "skewed": [min(990, int(r.expovariate(0.01))) for _ in range(300)]}[kind]
+    df = spark.createDataFrame([(v,) for v in values], "v bigint")
+    p = compile_query(QuerySpec(op="hist", ints=("v",)), df).first()["v"]["percentiles"]
+    values.sort()
+    width = max(1, (values[-1] - values[0]) // 100) if values[-1] - values[0] >= 100 else 1
+    assert all(abs(p[i] - values[i * 3]) <= max(1, width) or values[i * 3] <= p[i] <= values[min(299, i * 3 + 3)] for i in range(100))
