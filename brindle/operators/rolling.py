@@ -9,7 +9,8 @@ from the day before::
 yesterday's totals, today's arrivals, and the amount of the day that expires. ``bootstrap`` runs the
 recurrence over a whole history, ``advance`` makes the next version of a state from a batch of arrivals of
 any days: it takes yesterday's totals from the state, recomputes the dates from the earliest corrected one
-on, and only for entities that have arrivals; every other row is carried over.
+on, and only for entities that have arrivals; every other row is carried over. ``RollingState`` keeps the
+versions at a path, in parts of some days each, and writes only the parts that a batch affects.
 
 Rows are first reduced to one per entity and day, map-side, so that an entity with a third of all rows is a
 few numbers per task before anything is shuffled; afterwards an entity has at most as many rows as the
@@ -21,11 +22,12 @@ from __future__ import annotations
 from collections.abc import Sequence
 from datetime import date
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from brindle.session import stage
 from brindle.sources.tables import utc_day
+from brindle.sources.versions import Versions
 
 PERIODS = (7, 30)
 OWN = ("n_rows", "n", "total")
@@ -41,8 +43,8 @@ def day_text(column: str) -> Column:
     return F.date_format(F.date_add(F.lit("1970-01-01").cast("date"), F.col(column).cast("int")), "yyyy-MM-dd")
 
 
-def daily(df: DataFrame, entity: str, time: str, amount: str, first_day: str, last_day: str) -> DataFrame:
-    """``entity, day, n_rows, n, total``: rows, non-null amounts and their sum per entity and UTC day.
+def daily(df: DataFrame, entity: str, time: str, amount: str, first_day: str, last_day: str, by: Sequence[str] = ()) -> DataFrame:
+    """*by*, ``entity, day, n_rows, n, total``: rows, non-null amounts and their sum per entity and UTC day.
 
     Rows with a null entity, a null time or a time outside first_day..last_day (a faulty clock) are left
     out; a null amount is a row without an amount; repeated rows count each time; the empty string is an
@@ -50,75 +52,112 @@ def daily(df: DataFrame, entity: str, time: str, amount: str, first_day: str, la
     """
     low, high = day_number(first_day) * 86400, (day_number(last_day) + 1) * 86400
     rows = df.where(F.col(entity).isNotNull() & (F.col(time) >= low) & (F.col(time) < high))
-    rows = rows.select(F.col(entity).alias("entity"), utc_day(time).cast("int").alias("day"), F.col(amount).cast("bigint").alias("amount"))
-    return rows.groupBy("entity", "day").agg(F.count(F.lit(1)).alias("n_rows"), F.count("amount").alias("n"), F.coalesce(F.sum("amount"), F.lit(0)).alias("total"))
-
-
-def _calendar(ledger: DataFrame, periods: Sequence[int], start: DataFrame | None = None) -> DataFrame:
-    """The recurrence over each entity's days. ledger: entity, day, own amounts; start: entity, since, and the totals of the day before since."""
-    entries = ledger.groupBy("entity").agg(F.min("day").alias("a"), F.max("day").alias("z"), F.map_from_entries(F.collect_list(F.struct("day", F.struct(*OWN)))).alias("own"))
-    if start is not None:
-        entries = entries.join(start, "entity")
-        # from the day before since, whose totals are known; the amounts that expire later lie before it
-        entries = entries.withColumn("a", F.least("a", F.col("since") - 1))
-    else:
-        entries = entries.withColumn("since", F.col("a"))
-    carried = [c for c in (start.columns if start is not None else []) if c not in ("entity", "since")]
-    rows = entries.select("entity", "since", *carried, "own", F.explode(F.sequence("a", "z")).alias("day"))
-    rows = rows.select("entity", "since", *carried, "day", F.element_at("own", F.col("day")).alias("o"))
-    rows = rows.select("entity", "since", *carried, "day", *[F.coalesce(F.col(f"o.{c}"), F.lit(0)).cast("bigint").alias(c) for c in OWN])
-    by_day = Window.partitionBy("entity").orderBy("day")
-    so_far = by_day.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    step = rows
+    rows = rows.select(*[F.col(c) for c in by], F.col(entity).alias("entity"), utc_day(time).cast("int").alias("day"), F.col(amount).cast("bigint").alias("amount"))
+    return rows.groupBy(*by, "entity", "day").agg(F.count(F.lit(1)).alias("n_rows"), F.count("amount").alias("n"), F.coalesce(F.sum("amount"), F.lit(0)).alias("total"))
+
+
+def _totals(periods: Sequence[int]) -> list[str]:
+    return [f"{k}_{w}" for w in periods for k in ("n", "total")]
+
+
+def _roll(rows: DataFrame, periods: Sequence[int]) -> DataFrame:
+    """The recurrence over each entity's days. rows: entity, day, own amounts, totals, known (the totals are those of the end of the day as the state has it).
+
+    One shuffle, by entity: adding up the rows of a day, filling the days between and all windows keep to it.
+    """
+    totals = _totals(periods)
+    days = rows.repartition("entity").groupBy("entity", "day").agg(*[F.sum(c).alias(c) for c in OWN], *[F.max(c).alias(c) for c in totals], F.bool_and("known").alias("known"))
+    of = Window.partitionBy("entity")
+    by_day = of.orderBy("day")
+    days = days.withColumn("until", F.coalesce(F.lead("day").over(by_day) - 1, F.col("day")))
+    days = days.select("entity", *OWN, *totals, "known", F.col("day").alias("at"), F.explode(F.sequence("day", "until")).alias("day"))
+    here = F.col("day") == F.col("at")
+    step = days.select("entity", "day", *[F.when(here, F.col(c)).otherwise(0).alias(c) for c in OWN], *totals, (here & F.col("known")).alias("known"))
+    # the first day whose totals are not known any more: an arrival, or a day without rows that has to be filled
+    step = step.withColumn("since", F.min(F.when(~F.col("known"), F.col("day"))).over(of))
     for w in periods:
         for kind in ("n", "total"):
             move = F.col(kind) - F.lag(kind, w, 0).over(by_day)  # today's arrivals less the expiring day's
-            if f"{kind}_{w}" in carried:
-                move = F.when(F.col("day") >= F.col("since"), move).when(F.col("day") == F.col("since") - 1, F.col(f"{kind}_{w}")).otherwise(0)
-            step = step.withColumn(f"move_{kind}_{w}", move)
-    for w in periods:
-        for kind in ("n", "total"):
-            step = step.withColumn(f"{kind}_{w}", F.sum(f"move_{kind}_{w}").over(so_far))
-    return step.where(F.col("day") >= F.col("since")).select("entity", "day", *OWN, *[f"{k}_{w}" for w in periods for k in ("n", "total")])
+            start = F.when(F.col("day") == F.col("since") - 1, F.col(f"{kind}_{w}")).otherwise(0)  # yesterday's totals
+            step = step.withColumn(f"move_{kind}_{w}", F.when(F.col("day") >= F.col("since"), move).otherwise(start))
+    so_far = by_day.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    new = {c: F.when(F.col("day") >= F.col("since"), F.sum(f"move_{c}").over(so_far)).otherwise(F.col(c)).alias(c) for c in totals}
+    return step.select("entity", "day", *OWN, *new.values())
 
 
 def bootstrap(arrivals: DataFrame, periods: Sequence[int] = PERIODS) -> DataFrame:
     """The first version of the state, from the daily amounts of a whole history."""
-    return _calendar(arrivals, periods)
+    return _roll(arrivals.select("entity", "day", *OWN, *[F.lit(None).cast("bigint").alias(c) for c in _totals(periods)], F.lit(False).alias("known")), periods)
 
 
 def advance(state: DataFrame, arrivals: DataFrame, periods: Sequence[int] = PERIODS) -> DataFrame:
     """The next version: state with the daily amounts of a batch added (late days and signed corrections included).
 
-    state is read several times and should be a written table. An entity's days then reach from its first
-    to its last day in either; a day whose rows a correction takes back to 0 stays, as a day without rows.
+    An entity's days then reach from its first to its last day in either; a day whose rows a correction
+    takes back to 0 stays, as a day without rows.
     """
-    longest = max(periods)
-    ends = state.groupBy("entity").agg(F.max("day").alias("last"))
-    touched = arrivals.groupBy("entity").agg(F.min("day").alias("since")).join(ends, "entity", "left")
-    touched = touched.select("entity", F.least("since", F.col("last") + 1).cast("int").alias("since"))
-    split = state.join(touched, "entity", "left")
-    kept = split.where(F.col("since").isNull() | (F.col("day") < F.col("since"))).select(state.columns)
-    recent = split.where(F.col("day") >= F.col("since") - longest)
-    totals = [f"{k}_{w}" for w in periods for k in ("n", "total")]
-    before = recent.where(F.col("day") == F.col("since") - 1).select("entity", *totals)
-    start = touched.join(before, "entity", "left").select("entity", "since", *[F.coalesce(F.col(c), F.lit(0)).alias(c) for c in totals])
-    ledger = recent.select("entity", "day", *OWN).unionByName(arrivals.select("entity", "day", *OWN))
-    ledger = ledger.groupBy("entity", "day").agg(*[F.sum(c).alias(c) for c in OWN])
-    return kept.unionByName(_calendar(ledger, periods, start))
+    totals = _totals(periods)
+    old = state.select("entity", "day", *OWN, *totals, F.lit(True).alias("known"))
+    return _roll(old.unionByName(arrivals.select("entity", "day", *OWN, *[F.lit(None).cast("bigint").alias(c) for c in totals], F.lit(False).alias("known"))), periods)
 
 
 class RollingState:
-    """Versions of a state as written tables in the shared folder; the last one is current."""
+    """The state at a path, kept as versions; opening the path again, in this process or another, goes on from its current version.
 
-    def __init__(self, periods: Sequence[int] = PERIODS):
-        self.periods, self.versions = tuple(periods), []
+    Parts of the state are spans of ``span`` days. A batch reads the parts from the longest period before the
+    earliest affected day on and rewrites those from that day on as far as the longest period reaches past
+    the batch's last day; older and later parts stay as they are. ``ends`` has each entity's first and last day.
+    """
 
-    def load(self, arrivals: DataFrame) -> DataFrame:
-        """Apply a batch of daily amounts and write the version that results."""
-        new = advance(self.versions[-1], arrivals, self.periods) if self.versions else bootstrap(arrivals, self.periods)
-        self.versions.append(stage(new, f"rolling-v{len(self.versions)}"))
-        return self.versions[-1]
+    def __init__(self, spark: SparkSession, path: str, entity_type: str = "string", periods: Sequence[int] = PERIODS, span: int = 14, keep: int = 2):
+        self.periods, self.span = tuple(periods), span
+        self.kept = Versions(spark, path, keep)
+        self.schema = T.StructType().add("entity", entity_type).add("day", "integer")
+        for c in (*OWN, *_totals(self.periods)):
+            self.schema = self.schema.add(c, "long")
+
+    def current(self, number: int | None = None) -> DataFrame:
+        """The rows of a version, the current one by default."""
+        parts = self.kept.get(number)["parts"]
+        return self.kept.read({k: p for k, p in parts.items() if k != "ends"}, self.schema)
+
+    def load(self, arrivals: DataFrame, name: str | int | None = None, sign: int = 1) -> int:
+        """Apply a batch of daily amounts (sign -1: take it back) as the next version; its number.
+
+        name: what the batch is known by, so that one that is applied again after a failure counts once; the
+        same batch may be taken back and given again. arrivals is read three times and should be a written table.
+        """
+
+        def how(old: dict) -> tuple[dict[str, str], dict] | None:
+            done = old["facts"].get("done", [])
+            mark = None if name is None else str(name)
+            if mark is not None and (mark in done) == (sign > 0):
+                return None
+            signed = arrivals if sign > 0 else arrivals.select("entity", "day", *[(-F.col(c)).alias(c) for c in OWN])
+            ends = self.kept.read({k: p for k, p in old["parts"].items() if k == "ends"}, self.schema).select("entity", F.col("n_rows").cast("int").alias("first"), F.col("day").alias("last"))
+            mine = signed.groupBy("entity").agg(F.min("day").alias("a"), F.max("day").alias("z"))
+            both = mine.join(ends, "entity", "left")
+            since = F.least("a", F.col("last") + 1)  # days without a row between an entity's last day and the batch are filled
+            upto = F.greatest("z", F.when(F.col("a") < F.col("first"), F.col("first") - max(self.periods) + 1))  # and those before its first day
+            first, last = both.agg(F.min(since), F.max(upto)).first()
+            facts = {"done": [*done, mark] if sign > 0 and mark is not None else [x for x in done if x != mark]}
+            if first is None:
+                return old["parts"], facts
+            longest = max(self.periods)
+            state = {int(k): p for k, p in old["parts"].items() if k != "ends"}
+            top = (last + longest - 1) // self.span
+            near = {str(k): p for k, p in state.items() if (first - longest) // self.span <= k <= top}
+            new = advance(self.kept.read(near, self.schema), signed, self.periods) if near else bootstrap(signed, self.periods)
+            low = first // self.span
+            new = new.where(F.col("day") >= low * self.span).withColumn("part", F.floor(F.col("day") / self.span).cast("string"))
+            # the ends are written by the same job, as a part of their own: first day in n_rows, last day in day
+            merged = ends.unionByName(mine.select("entity", F.col("a").alias("first"), F.col("z").alias("last"))).groupBy("entity").agg(F.min("first").cast("bigint").alias("n_rows"), F.max("last").alias("day"))
+            rest = [F.lit(None).cast("bigint").alias(c) for c in new.columns if c not in ("entity", "day", "n_rows", "part")]
+            written = self.kept.write(new.unionByName(merged.select("entity", "day", "n_rows", *rest, F.lit("ends").alias("part"))), "part")
+            left = {str(k): p for k, p in state.items() if k < low or k > top}
+            return {**left, **written}, facts
+
+        return self.kept.change(how)["number"]
 
 
 def report(state: DataFrame, entity: str, periods: Sequence[int] = PERIODS) -> DataFrame:

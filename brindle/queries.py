@@ -6,10 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from brindle.operators import quality, rolling
-from brindle.session import stage
+from brindle.session import scratch
 from brindle.sources.tables import table
+from brindle.sources.versions import Versions
 
 #: The window of the data (UTC days, both included); times outside it are faulty clocks.
 FIRST_DAY, LAST_DAY = "2024-03-04", "2024-04-28"
@@ -17,89 +19,120 @@ FIRST_DAY, LAST_DAY = "2024-03-04", "2024-04-28"
 RULES = {
     ("host_generator", "status"): quality.Rule("value rlike '\\\\A[1-5][0-9]{2}\\\\z'", "value", ("null_rate", "pattern", "distribution")),
     ("people_generator", "city"): quality.Rule(r"value rlike '\\A\\p{Lu}[\\p{L} .\\x27-]*\\z'", None, ("null_rate", "pattern", "distinct")),
+    ("host_generator", "index_str"): quality.Rule("value rlike '\\\\A(0|[1-9][0-9]*)\\\\z'"),
+    ("host_generator", "time"): quality.Rule("try_cast(value as bigint) between 1709510400 and 1714348799"),
+    ("people_generator", "time"): quality.Rule("try_cast(value as bigint) between 1709510400 and 1714348799"),
+    ("people_generator", "session_id"): quality.Rule("value not in ('', 'undefined')"),
     ("people_generator", "age"): quality.Rule("try_cast(value as bigint) between 0 and 120", "try_cast(value as bigint) div 10", ("null_rate", "range", "distribution")),
 }
 
-#: The bin of columns without classes of their own in p5_found (which reports no drift of them) and p5_profile (whose SQL says so).
-LENGTH = "length(value)"
 
+def _daily(spark: SparkSession, d: str, by: tuple[str, ...] = ()) -> DataFrame:
+    rows = table(spark, d, "host_generator")
+    for c in by:  # rows without a load belong to the first one
+        low = rows.agg(F.min(c)).first()[0]
+        rows = rows.withColumn(c, F.coalesce(c, F.lit(low or 0)))
+    return rolling.daily(rows, "host", "time", "ping", FIRST_DAY, LAST_DAY, by)
 
-def _daily(spark: SparkSession, d: str, where: str = "true") -> DataFrame:
-    return rolling.daily(table(spark, d, "host_generator").where(where), "host", "time", "ping", FIRST_DAY, LAST_DAY)
 
+def in_batches(loads: list[int], later: int = 3) -> list[list[int]]:
+    """The loads in order as a history (the first half) and *later* batches of successive loads.
+
+    A change of a kept state costs some seconds of planning whatever its size, so a version stands for a batch of loads."""
+    half = (len(loads) + 1) // 2
+    rest = loads[half:]
+    size = -(-len(rest) // later) or 1
+    return [loads[:half], *[rest[k : k + size] for k in range(0, len(rest), size)]]
+
+
+def _state(spark: SparkSession, d: str) -> DataFrame:
+    """The current version of the kept state after all loads in order, batch by batch, with their late days; the last batch is taken back and given again, as a correction would."""
+    arrived = Versions(spark, scratch(spark, "arrivals"))
+    loads = arrived.write(_daily(spark, d, ("load_no",)).repartition("load_no"), "load_no")
+    state = rolling.RollingState(spark, scratch(spark, "rolling"))
+    for batch in in_batches(sorted(loads, key=int)):
+        rows, name = arrived.read({k: loads[k] for k in batch}, BATCH), ",".join(batch)
+        state.load(rows, name)
+    if loads:
+        state.load(rows, name, -1)
+        state.load(rows, name)
+    return state.current()
 
-def p4_rolling(spark: SparkSession, d: str) -> DataFrame:
-    """Sums and averages of ping over the last 7 and 30 days for every host and day."""
-    return rolling.report(rolling.bootstrap(_daily(spark, d)), "host")
 
+BATCH = T.StructType().add("entity", "string").add("day", "integer").add("n_rows", "long").add("n", "long").add("total", "long")
 
-def _versions(spark: SparkSession, d: str) -> DataFrame:
-    """The current version of the kept state: the first half of the loads as history, then the further loads with their late days and corrections."""
-    lo, hi = table(spark, d, "host_generator").agg(F.min("load_no"), F.max("load_no")).first()
-    mid = ((lo or 0) + (hi or 0)) // 2
-    load = f"coalesce(load_no, {lo or 0})"  # a row without a load counts as history
-    state = rolling.RollingState()
-    state.load(_daily(spark, d, f"{load} <= {mid}"))
-    return state.load(_daily(spark, d, f"{load} > {mid}"))
+
+def p4_rolling(spark: SparkSession, d: str) -> DataFrame:
+    """Sums and averages of ping over the last 7 and 30 days for every host and day, from the kept state."""
+    return rolling.report(_state(spark, d), "host")
 
 
-def p4_versions(spark: SparkSession, d: str) -> DataFrame:
-    """The same from the kept versions of the state."""
-    return rolling.report(_versions(spark, d), "host")
+def p4_bootstrap(spark: SparkSession, d: str) -> DataFrame:
+    """The same for a history that is there at once: the first version of a state."""
+    return rolling.report(rolling.bootstrap(_daily(spark, d)), "host")
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     """Days of the kept state on which the host has no row."""
-    return rolling.gaps(_versions(spark, d), "host")
+    return rolling.gaps(_state(spark, d), "host")
 
 
-def _deltas(spark: SparkSession, d: str, columns: dict[str, list[str] | None]) -> DataFrame:
-    out = None
-    for name, cols in columns.items():
-        part = quality.deltas(table(spark, d, name), name, cols)
-        out = part if out is None else out.unionByName(part)
-    return out
+P5_FOUND = {"host_generator": ["status"], "people_generator": ["city", "age"]}
+P5_ALL = {"host_generator": None, "people_generator": None}
 
 
-def p5_found(spark: SparkSession, d: str) -> DataFrame:
-    counts = quality.ValueCounts().change(_deltas(spark, d, {"host_generator": ["status"], "people_generator": ["city", "age"]}))
-    return quality.findings(quality.compared(stage(quality.metrics(counts, RULES, bin=LENGTH), "quality")), RULES)
+def _counts(spark: SparkSession, d: str, columns: dict[str, list[str] | None], later: int = 3) -> quality.ValueCounts:
+    """The kept value counts after the loads of the tables in order, batch by batch; the last load is taken back and given again, as a correction would."""
+    kept = quality.ValueCounts(spark, scratch(spark, "value-counts"))
+    loads = {name: [r[0] for r in table(spark, d, name).select("load_no").distinct().orderBy("load_no").collect()] for name in columns}  # null, if any, first
+    batches = {name: in_batches(of, later) for name, of in loads.items()}
 
+    def delta(name: str, batch: list[int | None]) -> DataFrame:
+        known = [x for x in batch if x is not None]
+        own = F.col("load_no").between(known[0], known[-1]) if known else F.lit(False)
+        if len(known) < len(batch):
+            own = own | F.col("load_no").isNull()
+        return quality.deltas(table(spark, d, name).where(own), name, columns[name])
 
-def p5_profile(spark: SparkSession, d: str) -> DataFrame:
-    """Every column of host_generator and people_generator, per load; the deltas of all columns at once, so they aren't kept.
+    def change(parts: dict[str, list[int | None]], sign: int = 1) -> None:
+        out = None
+        for name, batch in parts.items():
+            part = delta(name, batch)
+            out = part if out is None else out.unionByName(part)
+        if out is not None:
+            kept.change(out, parts, sign)
 
-    drift is over lengths where a rule has no bin, as the query's SQL says; ``p5_drift`` has that of the values."""
-    counts = _deltas(spark, d, {"host_generator": None, "people_generator": None})
-    out = quality.compared(stage(quality.metrics(counts, RULES, bin=LENGTH), "quality"))
-    return out.select("table_name", "column_name", "load_no", "n_rows", "n_null", "n_distinct", "least", "greatest", "first_text", "last_text", "n_bad", *[F.round(c, 6).alias(c) for c in ("null_rate", "bad_rate", "entropy", "drift")])
+    for k in range(max(map(len, batches.values()))):
+        change({name: of[k] for name, of in batches.items() if k < len(of) and of[k]})
+    last = {name: of[-1:] for name, of in loads.items() if of}
+    change(last, -1)
+    change(last)
+    return kept
 
 
-def p5_drift(spark: SparkSession, d: str) -> DataFrame:
-    """Drift of every column from its value counts: over the values of texts and the first load's deciles of numbers, where no rule has classes."""
-    columns = {"host_generator": None, "people_generator": None}
-    first = None
-    for name in columns:
-        rows = table(spark, d, name)
-        low = rows.agg(F.min("load_no")).first()[0]
-        part = quality.deltas(rows.where(F.col("load_no") == F.lit(low)), name)
-        first = part if first is None else first.unionByName(part)
-    out = quality.compared(stage(quality.metrics(_deltas(spark, d, columns), RULES, first=first), "quality"))
-    return out.select("table_name", "column_name", "load_no", "n_good", F.round("drift", 6).alias("drift"))
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    counts = _counts(spark, d, P5_FOUND).current()
+    return quality.findings(quality.compared(counts, RULES, only_classes=True), RULES)
+
+
+def p5_profile(spark: SparkSession, d: str) -> DataFrame:
+    """Every column of host_generator and people_generator, per load, from the kept counts; drift is over the values of texts and width bins of numbers where a rule has no classes."""
+    out = quality.compared(_counts(spark, d, P5_ALL, 1).current(), RULES)
+    return out.select("table_name", "column_name", "load_no", "n_rows", "n_null", "n_distinct", "least", "greatest", "n_bad", *[F.round(c, 6).alias(c) for c in ("null_rate", "bad_rate", "entropy", "drift")])
 
 
 def p5_maintained(spark: SparkSession, d: str) -> DataFrame:
-    """Profile from counts maintained by signed deltas: all loads added, the first one taken back."""
-    kept = quality.ValueCounts()
-    counts = kept.change(_deltas(spark, d, {"host_generator": ["status", "host"]}))
+    """Profile of all loads together from counts maintained by signed deltas: all loads added, the first one taken back."""
+    kept = _counts(spark, d, {"host_generator": ["status", "host"]})
+    counts = kept.current()
     first = counts.agg(F.min("load_no")).first()[0]
-    counts = kept.change(counts.where(F.col("load_no") == F.lit(first)), -1)
-    out = quality.profile(quality.metrics(quality.apply(counts), RULES, by=()), by=())
+    kept.change(counts.where(F.col("load_no") == F.lit(first)), {"host_generator": [first]}, -1)
+    out = quality.profile(quality.metrics(quality.apply(kept.current()), RULES, by=()), by=())
     return out.select("table_name", "column_name", "n_rows", "n_null", "n_distinct", "n_bad", F.round("entropy", 6).alias("entropy"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p4_found": p4_found, "p4_rolling": p4_rolling, "p4_versions": p4_versions, "p5_found": p5_found, "p5_profile": p5_profile, "p5_drift": p5_drift, "p5_maintained": p5_maintained}
+    return {"p4_found": p4_found, "p4_rolling": p4_rolling, "p4_bootstrap": p4_bootstrap, "p5_found": p5_found, "p5_profile": p5_profile, "p5_maintained": p5_maintained}
 
 
 _P4 = """
@@ -124,27 +157,32 @@ from s
 """
 _P4_FOUND = _P4 + "select host, strftime(date '1970-01-01' + day, '%Y-%m-%d') as gap_day from f where n_rows = 0"
 
+_TIME = "try_cast(v as bigint) between 1709510400 and 1714348799"
 _GOOD = {
-    "status": "regexp_full_match(v, '[1-5][0-9]{2}')",
-    "city": r"regexp_full_match(v, '\p{Lu}[\p{L} .''-]*')",
-    "age": "try_cast(v as bigint) between 0 and 120",
+    ("host_generator", "status"): "regexp_full_match(v, '[1-5][0-9]{2}')",
+    ("people_generator", "city"): r"regexp_full_match(v, '\p{Lu}[\p{L} .''-]*')",
+    ("people_generator", "age"): "try_cast(v as bigint) between 0 and 120",
+    ("host_generator", "index_str"): "regexp_full_match(v, '0|[1-9][0-9]*')",
+    ("host_generator", "time"): _TIME,
+    ("people_generator", "time"): _TIME,
+    ("people_generator", "session_id"): "v not in ('', 'undefined')",
 }
 _BIN = {"status": "v", "age": "cast(try_cast(v as bigint) // 10 as varchar)"}
 
 
 def _p5_rows(table_name: str, column: str, numeric: bool = False, text: str | None = None) -> str:
-    good, bin_ = _GOOD.get(column, "true"), _BIN.get(column, "cast(length(v) as varchar)")
-    return f"""select '{table_name}' as table_name, '{column}' as column_name, load_no, v, n, {str(numeric).lower()} as numeric,
+    good, bin_ = _GOOD.get((table_name, column), "true"), _BIN.get(column, "cast(null as varchar)")
+    return f"""select '{table_name}' as table_name, '{column}' as column_name, load_no, v, n, {str(numeric).lower()} as numeric, {str((table_name, column) in _GOOD).lower()} as ruled,
       v is not null and coalesce({good}, false) as good, case when v is not null and coalesce({good}, false) then {bin_} end as bin
       from (select load_no, {text or f'cast({column} as varchar)'} as v, count(*) as n from {table_name} group by 1, 2)"""
 
 
 _P5_LOADS = """
 l as (select table_name, column_name, load_no, cast(sum(n) as bigint) as n_rows, cast(coalesce(sum(n) filter (v is null), 0) as bigint) as n_null,
-    cast(coalesce(sum(n) filter (v is not null and not good), 0) as bigint) as n_bad, cast(coalesce(sum(n) filter (good), 0) as bigint) as n_good,
+    case when bool_or(ruled) then cast(coalesce(sum(n) filter (v is not null and not good), 0) as bigint) end as n_bad, cast(coalesce(sum(n) filter (good), 0) as bigint) as n_good,
     count(v) as n_distinct, coalesce(sum(n * log2(n)) filter (v is not null), 0) as nlogn,
-    min(case when numeric then try_cast(v as double) end) as least, max(case when numeric then try_cast(v as double) end) as greatest,
-    min(case when not numeric then v end) as first_text, max(case when not numeric then v end) as last_text
+    case when bool_or(numeric) then cast(min(case when numeric then cast(v as bigint) end) as varchar) else min(v) end as least,
+    case when bool_or(numeric) then cast(max(case when numeric then cast(v as bigint) end) as varchar) else max(v) end as greatest
   from r group by 1, 2, 3),
 m as (select *, cast(n_null as double) / n_rows as null_rate, case when n_rows > n_null then cast(n_bad as double) / (n_rows - n_null) end as bad_rate,
     first_value(load_no) over w as load1, first_value(n_good) over w as good1, first_value(n_distinct) over w as distinct1
@@ -174,38 +212,33 @@ _P5_COLUMNS = [
     *[_p5_rows("people_generator", c, c in _PEOPLE_INTS) for c in ("name", "session_id", "company", "city", "state", "country", "str_canary", "str_canary2", "str_canary3", *_PEOPLE_INTS)],
     *[_p5_rows(t, "loaded_at") for t in ("host_generator", "people_generator")],
 ]
+# width bins of numbers: the first load's good values by sign and digits; classes at an end that hold at most one value in 200 are outliers
 _P5_PROFILE = f"""
-with r as ({" union all ".join(_P5_COLUMNS)}),
-{_P5_LOADS}
-select table_name, column_name, load_no, n_rows, n_null, n_distinct, least, greatest, first_text, last_text, n_bad, round(null_rate, 6) as null_rate,
-  round(bad_rate, 6) as bad_rate, round(case when n_rows > n_null then greatest(0, log2(n_rows - n_null) - nlogn / (n_rows - n_null)) end, 6) as entropy,
-  round(drift, 6) as drift from z
-"""
-_P5_DRIFT = f"""
 with r0 as ({" union all ".join(_P5_COLUMNS)}),
-s as (select table_name, column_name, min(load_no) as load_no from r0 group by 1, 2),
-e as (select table_name, column_name, v, up_to - n as below, up_to, total from (
-  select table_name, column_name, cast(v as double) as v, n, sum(n) over (partition by table_name, column_name order by cast(v as double)) as up_to,
-    sum(n) over (partition by table_name, column_name) as total
-  from r0 join s using (table_name, column_name, load_no) where numeric and good)),
-k as (select distinct table_name, column_name, v from e, range(1, 10) as t(i) where (i * total + 9) // 10 > below and (i * total + 9) // 10 <= up_to),
-kk as (select table_name, column_name, list(v) as edges from k group by 1, 2),
+f as (select table_name, column_name, min(load_no) as load_no from r0 where load_no is not null group by 1, 2),
+d as (select table_name, column_name, case when v like '-%' then 1 - length(v) else length(v) end as size, sum(n) as n, min(cast(v as bigint)) as a, max(cast(v as bigint)) as z
+  from r0 join f using (table_name, column_name, load_no) where numeric and good group by 1, 2, 3),
+c as (select *, sum(n) over (partition by table_name, column_name order by size) as up, sum(n) over (partition by table_name, column_name order by size desc) as down,
+  sum(n) over (partition by table_name, column_name) as total from d),
+e as (select table_name, column_name, min(a) as lo, max(z) as hi, greatest(1, (max(z) - min(a)) // 20 + 1) as w from c where up * 200 > total and down * 200 > total group by 1, 2),
 r as (select r0.* exclude (bin), case when not good then null when column_name in ('status', 'age') then bin when not numeric then v
-    else cast(len(list_filter(edges, lambda x: x < cast(v as double))) as varchar) end as bin
-  from r0 left join kk using (table_name, column_name)),
+    when e.lo is null then null when cast(v as bigint) < lo then '-1' when cast(v as bigint) > hi then '20' else cast((cast(v as bigint) - lo) // w as varchar) end as bin
+  from r0 left join e using (table_name, column_name)),
 {_P5_LOADS}
-select table_name, column_name, load_no, n_good, round(drift, 6) as drift from z
+select table_name, column_name, load_no, n_rows, n_null, n_distinct, least, greatest, n_bad, round(null_rate, 6) as null_rate,
+  round(bad_rate, 6) as bad_rate, round(case when n_rows > n_null then greatest(0, log2(n_rows - n_null) - nlogn / (n_rows - n_null)) end, 6) as entropy,
+  round(drift, 6) as drift from z
 """
 _P5_MAINTAINED = """
 with h as (select * from host_generator where load_no > (select min(load_no) from host_generator)),
 r as (select 'status' as column_name, status as v, count(*) as n, coalesce(regexp_full_match(status, '[1-5][0-9]{2}'), false) as good from h group by status
   union all select 'host', host, count(*), true from h group by host)
 select 'host_generator' as table_name, column_name, cast(sum(n) as bigint) as n_rows, cast(coalesce(sum(n) filter (v is null), 0) as bigint) as n_null,
-  count(v) as n_distinct, cast(coalesce(sum(n) filter (v is not null and not good), 0) as bigint) as n_bad,
+  count(v) as n_distinct, case when column_name = 'status' then cast(coalesce(sum(n) filter (v is not null and not good), 0) as bigint) end as n_bad,
   round(log2(sum(n) filter (v is not null)) - sum(n * log2(n)) filter (v is not null) / sum(n) filter (v is not null), 6) as entropy
 from r group by column_name
 """
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"p4_found": _P4_FOUND, "p4_rolling": _P4_ROLLING, "p4_versions": _P4_ROLLING, "p5_found": _P5_FOUND, "p5_profile": _P5_PROFILE, "p5_drift": _P5_DRIFT, "p5_maintained": _P5_MAINTAINED}
+    return {"p4_found": _P4_FOUND, "p4_rolling": _P4_ROLLING, "p4_bootstrap": _P4_ROLLING, "p5_found": _P5_FOUND, "p5_profile": _P5_PROFILE, "p5_maintained": _P5_MAINTAINED}

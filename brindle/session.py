@@ -58,15 +58,21 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if df._jdf.queryExecution().toRdd().getNumPartitions() < cores else df
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder that is removed when the process ends, or by ``release``."""
+    path = f"{shared_dir(spark)}/brindle-{name}-{uuid.uuid4().hex}"
+    _staged.append((spark, path))
+    return path
+
+
 def stage(df: DataFrame, name: str = "stage") -> DataFrame:
     """Write df to the shared folder and read it back: cuts the lineage, survives the loss of executors.
 
     The table is removed when the process ends, or by ``release``.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/brindle-{name}-{uuid.uuid4().hex}"
+    path = scratch(spark, name)
     df.write.option("compression", "zstd").parquet(path)
-    _staged.append((spark, path))
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,7 +12,7 @@ from brindle.plans import compile as plan
 from brindle.plans.builder import Query
 from brindle.plans.compile import compile_query
 from brindle.plans.spec import QuerySpec
-from brindle.session import shared_dir
+from brindle.session import scratch
 from brindle.sources import ingest
 from brindle.sources.model import to_model
 from brindle.sources.storage import Table
@@ -178,7 +177,7 @@ _add("tdigest_quantiles", _sketched)
 
 
 def _scratch_table(spark: SparkSession, name: str) -> Table:
-    return Table(spark, f"{shared_dir(spark)}/tables-{uuid.uuid4().hex}", name)
+    return Table(spark, scratch(spark, "tables"), name)
 
 
 def _json_flatten(spark: SparkSession, d: str) -> DataFrame:
