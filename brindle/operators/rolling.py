@@ -66,28 +66,31 @@ def _roll(rows: DataFrame, periods: Sequence[int]) -> DataFrame:
     One shuffle, by entity: adding up the rows of a day, filling the days between and all windows keep to it.
     """
     totals = _totals(periods)
-    days = rows.repartition("entity").groupBy("entity", "day").agg(*[F.sum(c).alias(c) for c in OWN], *[F.max(c).alias(c) for c in totals], F.bool_and("known").alias("known"))
-    of = Window.partitionBy("entity")
-    by_day = of.orderBy("day")
-    days = days.withColumn("until", F.coalesce(F.lead("day").over(by_day) - 1, F.col("day")))
-    days = days.select("entity", *OWN, *totals, "known", F.col("day").alias("at"), F.explode(F.sequence("day", "until")).alias("day"))
-    here = F.col("day") == F.col("at")
-    step = days.select("entity", "day", *[F.when(here, F.col(c)).otherwise(0).alias(c) for c in OWN], *totals, (here & F.col("known")).alias("known"))
-    # the first day whose totals are not known any more: an arrival, or a day without rows that has to be filled
-    step = step.withColumn("since", F.min(F.when(~F.col("known"), F.col("day"))).over(of))
+    by_day = "over (partition by entity order by day)"
+    so_far = "over (partition by entity order by day rows between unbounded preceding and current row)"
+    sums = ", ".join([*[f"sum({c}) as {c}" for c in OWN], *[f"max({c}) as {c}" for c in totals], "bool_and(known) as known"])
+    days = rows.repartition("entity").groupBy("entity", "day").agg(*map(F.expr, sums.split(", ")))
+    days = days.selectExpr("*", f"coalesce(lead(day) {by_day} - 1, day) as until")
+    days = days.selectExpr("entity", *OWN, *totals, "known", "day as at", "explode(sequence(day, until)) as day")
+    days = days.selectExpr("entity", "day", *[f"if(day = at, {c}, 0) as {c}" for c in OWN], *totals, "day = at and known as known")
+    # since: the first day whose totals are not known any more, an arrival or a day without rows that has to be filled
+    step = days.selectExpr("*", "min(if(known, null, day)) over (partition by entity) as since")
+    moves = []
     for w in periods:
         for kind in ("n", "total"):
-            move = F.col(kind) - F.lag(kind, w, 0).over(by_day)  # today's arrivals less the expiring day's
-            start = F.when(F.col("day") == F.col("since") - 1, F.col(f"{kind}_{w}")).otherwise(0)  # yesterday's totals
-            step = step.withColumn(f"move_{kind}_{w}", F.when(F.col("day") >= F.col("since"), move).otherwise(start))
-    so_far = by_day.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    new = {c: F.when(F.col("day") >= F.col("since"), F.sum(f"move_{c}").over(so_far)).otherwise(F.col(c)).alias(c) for c in totals}
-    return step.select("entity", "day", *OWN, *new.values())
+            # from since on today's arrivals less the expiring day's, on the day before it yesterday's totals
+            moves.append(f"case when day >= since then {kind} - lag({kind}, {w}, 0) {by_day} when day = since - 1 then {kind}_{w} else 0 end as move_{kind}_{w}")
+    step = step.selectExpr("*", *moves)
+    return step.selectExpr("entity", "day", *OWN, *[f"if(day >= since, sum(move_{c}) {so_far}, {c}) as {c}" for c in totals])
 
 
 def bootstrap(arrivals: DataFrame, periods: Sequence[int] = PERIODS) -> DataFrame:
     """The first version of the state, from the daily amounts of a whole history."""
-    return _roll(arrivals.select("entity", "day", *OWN, *[F.lit(None).cast("bigint").alias(c) for c in _totals(periods)], F.lit(False).alias("known")), periods)
+    return _roll(_arrivals(arrivals, periods), periods)
+
+
+def _arrivals(rows: DataFrame, periods: Sequence[int]) -> DataFrame:
+    return rows.selectExpr("entity", "day", *OWN, *[f"cast(null as bigint) as {c}" for c in _totals(periods)], "false as known")
 
 
 def advance(state: DataFrame, arrivals: DataFrame, periods: Sequence[int] = PERIODS) -> DataFrame:
@@ -96,9 +99,8 @@ def advance(state: DataFrame, arrivals: DataFrame, periods: Sequence[int] = PERI
     An entity's days then reach from its first to its last day in either; a day whose rows a correction
     takes back to 0 stays, as a day without rows.
     """
-    totals = _totals(periods)
-    old = state.select("entity", "day", *OWN, *totals, F.lit(True).alias("known"))
-    return _roll(old.unionByName(arrivals.select("entity", "day", *OWN, *[F.lit(None).cast("bigint").alias(c) for c in totals], F.lit(False).alias("known"))), periods)
+    old = state.selectExpr("entity", "day", *OWN, *_totals(periods), "true as known")
+    return _roll(old.unionByName(_arrivals(arrivals, periods)), periods)
 
 
 class RollingState:
@@ -133,13 +135,13 @@ class RollingState:
             mark = None if name is None else str(name)
             if mark is not None and (mark in done) == (sign > 0):
                 return None
-            signed = arrivals if sign > 0 else arrivals.select("entity", "day", *[(-F.col(c)).alias(c) for c in OWN])
-            ends = self.kept.read({k: p for k, p in old["parts"].items() if k == "ends"}, self.schema).select("entity", F.col("n_rows").cast("int").alias("first"), F.col("day").alias("last"))
-            mine = signed.groupBy("entity").agg(F.min("day").alias("a"), F.max("day").alias("z"))
+            signed = arrivals if sign > 0 else arrivals.selectExpr("entity", "day", *[f"-{c} as {c}" for c in OWN])
+            ends = self.kept.read({k: p for k, p in old["parts"].items() if k == "ends"}, self.schema).selectExpr("entity", "cast(n_rows as int) as first", "day as last")
+            mine = signed.groupBy("entity").agg(F.expr("min(day) as a"), F.expr("max(day) as z"))
             both = mine.join(ends, "entity", "left")
-            since = F.least("a", F.col("last") + 1)  # days without a row between an entity's last day and the batch are filled
-            upto = F.greatest("z", F.when(F.col("a") < F.col("first"), F.col("first") - max(self.periods) + 1))  # and those before its first day
-            first, last = both.agg(F.min(since), F.max(upto)).first()
+            # days without a row between an entity's last day and the batch are filled, and those before its first day
+            since, upto = "least(a, last + 1)", f"greatest(z, if(a < first, first - {max(self.periods) - 1}, null))"
+            first, last = both.selectExpr(f"min({since})", f"max({upto})").first()
             facts = {"done": [*done, mark] if sign > 0 and mark is not None else [x for x in done if x != mark]}
             if first is None:
                 return old["parts"], facts
@@ -149,11 +151,11 @@ class RollingState:
             near = {str(k): p for k, p in state.items() if (first - longest) // self.span <= k <= top}
             new = advance(self.kept.read(near, self.schema), signed, self.periods) if near else bootstrap(signed, self.periods)
             low = first // self.span
-            new = new.where(F.col("day") >= low * self.span).withColumn("part", F.floor(F.col("day") / self.span).cast("string"))
+            new = new.where(f"day >= {low * self.span}").selectExpr("*", f"cast(floor(day / {self.span}) as string) as part")
             # the ends are written by the same job, as a part of their own: first day in n_rows, last day in day
-            merged = ends.unionByName(mine.select("entity", F.col("a").alias("first"), F.col("z").alias("last"))).groupBy("entity").agg(F.min("first").cast("bigint").alias("n_rows"), F.max("last").alias("day"))
-            rest = [F.lit(None).cast("bigint").alias(c) for c in new.columns if c not in ("entity", "day", "n_rows", "part")]
-            written = self.kept.write(new.unionByName(merged.select("entity", "day", "n_rows", *rest, F.lit("ends").alias("part"))), "part")
+            merged = ends.unionByName(mine.selectExpr("entity", "a as first", "z as last")).groupBy("entity").agg(F.expr("cast(min(first) as bigint) as n_rows"), F.expr("max(last) as day"))
+            rest = [f"cast(null as bigint) as {c}" for c in new.columns if c not in ("entity", "day", "n_rows", "part")]
+            written = self.kept.write(new.unionByName(merged.selectExpr("entity", "day", "n_rows", *rest, "'ends' as part")), "part")
             left = {str(k): p for k, p in state.items() if k < low or k > top}
             return {**left, **written}, facts
 

@@ -12,9 +12,11 @@ from pyspark.sql import SparkSession
 class Files:
     def __init__(self, spark: SparkSession):
         self.jvm, self.conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+        # every step of a dotted class name is a round trip to the JVM: look classes up once
+        self._path, self._utils, self._file = self.jvm.org.apache.hadoop.fs.Path, self.jvm.org.apache.commons.io.IOUtils, self.jvm.java.io.File
 
     def _at(self, path: str):
-        p = self.jvm.org.apache.hadoop.fs.Path(path)
+        p = self._path(path)
         return p, p.getFileSystem(self.conf)
 
     def exists(self, path: str) -> bool:
@@ -36,14 +38,14 @@ class Files:
         p, fs = self._at(path)
         stream = fs.open(p)
         try:
-            return self.jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+            return self._utils.toString(stream, "UTF-8")
         finally:
             stream.close()
 
     def write(self, path: str, text: str) -> None:
         """Write to a temporary name of its own, then rename to a path that isn't there yet: a reader sees nothing or the whole content."""
         p, fs = self._at(path)
-        tmp = self.jvm.org.apache.hadoop.fs.Path(f"{path}.{uuid.uuid4().hex}.partial")
+        tmp = self._path(f"{path}.{uuid.uuid4().hex}.partial")
         out = fs.create(tmp, True)
         out.write(bytearray(text.encode("utf-8")))
         out.close()
@@ -58,7 +60,7 @@ class Files:
         uri = fs.makeQualified(p).toUri()
         try:
             if uri.getScheme() == "file":  # Hadoop's local file system looks first and creates then
-                if not self.jvm.java.io.File(uri.getPath()).createNewFile():
+                if not self._file(uri.getPath()).createNewFile():
                     return False
                 if text:
                     self.touch(path, text)
