@@ -5,12 +5,14 @@ load or per day. Partial results combine by adding ``n`` and nothing else, so pe
 slices are those of the whole, with error 0.
 
 Bisection: every group and percentile owns an interval of the value domain, at first the whole of it. A
-pass counts the rows of each of the ``2**bits`` equal parts of the interval, that is the rows below
-``2**bits - 1`` midpoints, ``bits`` halvings at once, and keeps the part that holds the target rank. The
-counts of a pass do not touch the rows again: they are rolled up once from the next finer level, so all
-passes together shuffle little more than the finest counts. No group is ever gathered: every shuffle key
-contains the part of the domain, and a part has at most ``2**bits`` sub-parts, so a group that holds a
-third of all rows is spread like the others.
+pass joins the counts to the intervals that are live, counts the rows of each of the ``2**bits`` equal parts
+of an interval, that is the rows below ``2**bits - 1`` midpoints, ``bits`` halvings at once, and keeps the
+part that holds the target rank. Counts outside every live interval are dropped by the join before anything
+is shuffled, and a pass shuffles at most groups x percentiles x 2**bits rows. The live intervals (one row
+per group and interval) are broadcast while they are at most ``LIVE`` rows, counted before; beyond that
+both sides are shuffled by interval. No group is ever gathered: every shuffle key contains the part of the
+domain, and a part has at most ``2**bits`` sub-parts, so a group that holds a third of all rows is spread
+like the others.
 
 Percentiles are nearest-rank: the value at rank ``max(1, ceil(permille * n / 1000))`` of the ordered
 non-null values. ``stop_width`` ends the bisection early: then the value is known to lie in
@@ -21,11 +23,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from brindle.session import stage
 
+#: Live intervals up to which they are broadcast (some 100 bytes each).
+LIVE = 400_000
 PERMILLE = (10, 50, 250, 500, 750, 900, 950, 990)
 
 
@@ -81,37 +85,34 @@ def bisect(counts: DataFrame, keys: Sequence[str], permille: Sequence[int] = PER
     ends = max(0, (max(1, stop_width)).bit_length() - 1)
     shifts = [*range(ends, span, bits), span]  # part widths, finest first; the last is the whole domain (of a side)
 
-    levels: dict[int, DataFrame] = {}
-    finer = cells
-    for s, up in zip(shifts, [0, *shifts]):
-        if s == 0:
-            levels[0] = finer
-        else:
-            width = s - up
-            key = F.lit(0).cast("bigint") if s == span else F.shiftright(F.col("u"), width)
-            levels[s] = finer.groupBy(*keys, "side", key.alias("u")).agg(F.sum("n").alias("n"))
-        finer = levels[s]
-
-    # the first step chooses the side, which has at most two values a group
-    w = Window.partitionBy(*keys).orderBy("side").rowsBetween(Window.unboundedPreceding, 0)
-    top = levels[span].withColumn("cum", F.sum("n").over(w)).withColumn("total", F.sum("n").over(Window.partitionBy(*keys)))
-    rank = F.greatest(F.lit(1), F.expr("(pm * total + 999) div 1000"))
-    active = top.withColumn("pm", F.explode(F.array(*[F.lit(p) for p in permille]))).withColumn("rank", rank)
-    active = active.where((F.col("rank") <= F.col("cum")) & (F.col("rank") > F.col("cum") - F.col("n"))).select(*keys, "side", F.col("u").alias("part"), "pm", "total", (F.col("rank") - F.col("cum") + F.col("n")).alias("rank"))
+    cell = [*keys, "side", "part"]
+    permilles = ", ".join(map(str, permille))
+    # the whole domain of a side is one interval at first; the ranks of a group with both sides fall into one of them
+    sides = cells.groupBy(*keys, "side").agg(F.sum("n").alias("n"))
+    of = f"over (partition by {', '.join(keys)} order by side)"
+    sides = sides.selectExpr(*keys, "side", "n", f"sum(n) {of} as cum", f"sum(n) over (partition by {', '.join(keys)}) as total")
+    asks = f"transform(array({permilles}), p -> struct(p as pm, greatest(1, (p * total + 999) div 1000) as rank))"
+    mine = f"transform(filter({asks}, a -> a.rank <= cum and a.rank > cum - n), a -> struct(a.pm as pm, a.rank - cum + n as rank))"
+    live = sides.selectExpr(*keys, "side", "cast(0 as bigint) as part", "total", f"{mine} as asks").where("size(asks) > 0")
 
     for above, s in zip(shifts[::-1], shifts[-2::-1]):
-        part = F.lit(0).cast("bigint") if above == span else F.shiftright(F.col("u"), above - s)
-        inside = Window.partitionBy(*keys, "side", "part").orderBy("u").rowsBetween(Window.unboundedPreceding, 0)
-        kids = levels[s].withColumn("part", part).withColumn("cum", F.sum("n").over(inside))
-        kids = kids.select(*keys, "side", "part", "u", F.col("n").alias("here"), "cum")
-        inside_rank = (F.col("rank") <= F.col("cum")) & (F.col("rank") > F.col("cum") - F.col("here"))
-        active = active.join(kids, [*keys, "side", "part"]).where(inside_rank).select(*keys, "side", F.col("u").alias("part"), "pm", "total", (F.col("rank") - F.col("cum") + F.col("here")).alias("rank"))
+        live = stage(live, "intervals")
+        near = F.broadcast(live) if live.count() <= LIVE else live
+        part = "cast(0 as bigint)" if above == span else f"shiftright(u, {above})"
+        inside = cells.selectExpr(*keys, "side", f"{part} as part", f"shiftright(u, {s}) as sub", "n").join(near.select(*cell), cell)
+        parts = inside.groupBy(*cell, "sub").agg(F.sum("n").alias("n"))
+        parts = parts.selectExpr(*cell, "sub", "n", f"sum(n) over (partition by {', '.join(cell)} order by sub) as cum")
+        hits = parts.join(near, cell).selectExpr(*keys, "side", "sub as part", "total", "n", "cum", "filter(asks, a -> a.rank <= cum and a.rank > cum - n) as asks").where("size(asks) > 0")
+        live = hits.selectExpr(*keys, "side", "part", "total", "transform(asks, a -> struct(a.pm as pm, a.rank - cum + n as rank)) as asks")
+    active = live.selectExpr(*keys, "side", "part", "total", "explode(asks) as ask").selectExpr(*keys, "side", "part", "total", "ask.pm as pm")
 
     base = F.when(F.col("side") == 0, F.lit(-(1 << 63))).otherwise(F.lit(0)) if wide else F.lit(lo)
     last = shifts[0]
     low = (F.shiftleft(F.col("part"), last) if last else F.col("part")) + base
     back = [F.when(~F.col(f"__n{k}"), F.col(f"__k{k}")).cast(types[name]).alias(name) for k, name in enumerate(names)]
-    return active.select(*back, F.col("pm").alias("permille"), F.col("total").alias("n"), low.alias("value"), low.alias("lower"), (low + F.lit((1 << last) - 1)).alias("upper"), F.lit((1 << last) - 1).cast("bigint").alias("max_error"))
+    width, top = F.lit((1 << last) - 1).cast("bigint"), (1 << 63) - 1
+    upper = F.when(low > F.lit(top) - width, F.lit(top)).otherwise(low + F.when(low > F.lit(top) - width, F.lit(0)).otherwise(width))
+    return active.select(*back, F.col("pm").alias("permille"), F.col("total").alias("n"), low.alias("value"), low.alias("lower"), upper.alias("upper"), (upper - low).alias("max_error"))
 
 
 def percentiles(df: DataFrame, value: str, keys: Sequence[str], levels: dict[str, Sequence[str]], permille: Sequence[int] = PERMILLE, **how: int) -> DataFrame:
