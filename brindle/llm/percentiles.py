@@ -7,12 +7,13 @@ slices are those of the whole, with error 0.
 Bisection: every group and percentile owns an interval of the value domain, at first the whole of it. A
 pass joins the counts to the intervals that are live, counts the rows of each of the ``2**bits`` equal parts
 of an interval, that is the rows below ``2**bits - 1`` midpoints, ``bits`` halvings at once, and keeps the
-part that holds the target rank. Counts outside every live interval are dropped by the join before anything
-is shuffled, and a pass shuffles at most groups x percentiles x 2**bits rows. The live intervals (one row
-per group and interval) are broadcast while they are at most ``LIVE`` rows, counted before; beyond that
-both sides are shuffled by interval. No group is ever gathered: every shuffle key contains the part of the
-domain, and a part has at most ``2**bits`` sub-parts, so a group that holds a third of all rows is spread
-like the others.
+part that holds the target rank. An interval with at most ``2**bits`` different values is resolved by one
+last pass over these values, since midpoints between them tell all of them apart. Counts outside every live
+interval are dropped by the join before anything is shuffled. The live intervals (one row per group and
+interval) are broadcast while they are at most ``LIVE`` rows, counted before; beyond that both sides are
+shuffled by interval. No group is ever gathered: every shuffle key contains the part of the domain, and a
+task sorts at most ``2**bits`` parts or values of an interval, so a group that holds a third of all rows is
+spread like the others.
 
 Percentiles are nearest-rank: the value at rank ``max(1, ceil(permille * n / 1000))`` of the ordered
 non-null values. ``stop_width`` ends the bisection early: then the value is known to lie in
@@ -88,23 +89,43 @@ def bisect(counts: DataFrame, keys: Sequence[str], permille: Sequence[int] = PER
     cell = [*keys, "side", "part"]
     permilles = ", ".join(map(str, permille))
     # the whole domain of a side is one interval at first; the ranks of a group with both sides fall into one of them
-    sides = cells.groupBy(*keys, "side").agg(F.sum("n").alias("n"))
+    sides = cells.groupBy(*keys, "side").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("cells"))
     of = f"over (partition by {', '.join(keys)} order by side)"
-    sides = sides.selectExpr(*keys, "side", "n", f"sum(n) {of} as cum", f"sum(n) over (partition by {', '.join(keys)}) as total")
+    sides = sides.selectExpr(*keys, "side", "n", "cells", f"sum(n) {of} as cum", f"sum(n) over (partition by {', '.join(keys)}) as total")
     asks = f"transform(array({permilles}), p -> struct(p as pm, greatest(1, (p * total + 999) div 1000) as rank))"
-    mine = f"transform(filter({asks}, a -> a.rank <= cum and a.rank > cum - n), a -> struct(a.pm as pm, a.rank - cum + n as rank))"
-    live = sides.selectExpr(*keys, "side", "cast(0 as bigint) as part", "total", f"{mine} as asks").where("size(asks) > 0")
+    hit = "filter({}, a -> a.rank <= cum and a.rank > cum - n)"
+    move = "transform({}, a -> struct(a.pm as pm, a.rank - cum + n as rank))"
+    live = sides.selectExpr(*keys, "side", "cast(0 as bigint) as part", "total", "cells", f"{move.format(hit.format(asks))} as asks").where("size(asks) > 0")
 
+    def resolve(intervals: DataFrame, n_rows: int, above: int, s: int) -> DataFrame:
+        """Count the parts of width 2**s of the intervals of width 2**above, and give those that the ranks fall into."""
+        near = F.broadcast(intervals) if n_rows <= LIVE else intervals
+        part = "cast(0 as bigint)" if above == span else f"shiftright(u, {above})"
+        parts = cells.selectExpr(*keys, "side", f"{part} as part", f"shiftright(u, {s}) as sub", "n").join(near.select(*cell), cell)
+        if s == 0:  # cells are different values already
+            parts = parts.selectExpr(*cell, "sub", "n", "1 as cells")
+        else:
+            parts = parts.groupBy(*cell, "sub").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("cells"))
+        parts = parts.selectExpr(*cell, "sub", "n", "cells", f"sum(n) over (partition by {', '.join(cell)} order by sub) as cum")
+        hits = parts.join(near.select(*cell, "total", "asks"), cell).selectExpr(*keys, "side", "sub as part", "total", "n", "cum", "cells", f"{hit.format('asks')} as asks").where("size(asks) > 0")
+        return hits.selectExpr(*keys, "side", "part", "total", "cells", f"{move.format('asks')} as asks")
+
+    done = []
     for above, s in zip(shifts[::-1], shifts[-2::-1]):
         live = stage(live, "intervals")
-        near = F.broadcast(live) if live.count() <= LIVE else live
-        part = "cast(0 as bigint)" if above == span else f"shiftright(u, {above})"
-        inside = cells.selectExpr(*keys, "side", f"{part} as part", f"shiftright(u, {s}) as sub", "n").join(near.select(*cell), cell)
-        parts = inside.groupBy(*cell, "sub").agg(F.sum("n").alias("n"))
-        parts = parts.selectExpr(*cell, "sub", "n", f"sum(n) over (partition by {', '.join(cell)} order by sub) as cum")
-        hits = parts.join(near, cell).selectExpr(*keys, "side", "sub as part", "total", "n", "cum", "filter(asks, a -> a.rank <= cum and a.rank > cum - n) as asks").where("size(asks) > 0")
-        live = hits.selectExpr(*keys, "side", "part", "total", "transform(asks, a -> struct(a.pm as pm, a.rank - cum + n as rank)) as asks")
-    active = live.selectExpr(*keys, "side", "part", "total", "explode(asks) as ask").selectExpr(*keys, "side", "part", "total", "ask.pm as pm")
+        few = live.where(F.col("cells") <= 1 << bits) if ends == 0 and s > 0 else live.where("false")
+        live = live.where(F.col("cells") > 1 << bits) if ends == 0 and s > 0 else live
+        n_few, n_live = (f.count() for f in (few, live))
+        if n_few:
+            done.append(resolve(few, n_few, above, 0))
+        if not n_live and done:
+            live = None
+            break
+        live = resolve(live, n_live, above, s)
+    found = live
+    for d in done:
+        found = d if found is None else found.unionByName(d)
+    active = found.selectExpr(*keys, "side", "part", "total", "explode(asks) as ask").selectExpr(*keys, "side", "part", "total", "ask.pm as pm")
 
     base = F.when(F.col("side") == 0, F.lit(-(1 << 63))).otherwise(F.lit(0)) if wide else F.lit(lo)
     last = shifts[0]
