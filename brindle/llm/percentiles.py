@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from brindle.session import stage
 
 #: Live intervals up to which they are broadcast (some 100 bytes each).
-LIVE = 400_000
+LIVE = 100_000
 PERMILLE = (10, 50, 250, 500, 750, 900, 950, 990)
 
 
