@@ -9,9 +9,10 @@ per partition, and memory is ``tables * width * 33`` counters whatever the numbe
 A second pass verifies: rows whose hash was decoded are counted exactly by their value, which also resolves
 values that share a hash. What it sends to the executors is bounded by ``tables * width`` numbers.
 
-A value with a share of at least ``share`` is missed only if in all tables it shares its bucket with values
-that together occur as often; at width >= 5/share and five tables that is below 1e-3 in the worst case of
-1/share values of exactly that share, and far below otherwise. Nothing infrequent can be reported.
+Nothing is missed either: a value that the pass did not count leaves, in each of the tables, a bucket whose total
+exceeds what the counted values explain by at least ``share`` of all rows. If some table has no such bucket, that
+proves the result whole; otherwise (values that collide in all tables) the sketch is made again with four times the
+width, until it does. Nothing infrequent can be reported.
 """
 
 from __future__ import annotations
@@ -21,10 +22,12 @@ from decimal import Decimal
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from brindle.session import stage
+
 BITS = 32
 #: Odd multipliers of the bucket functions (any odd numbers do); their number bounds the number of tables.
 MULTIPLIERS = tuple((0x9E3779B97F4A7C15 * (2 * k + 1) ^ (0xD1B54A32D192ED03 * (k + 1))) & (2**64 - 1) | 1 for k in range(16))
@@ -118,18 +121,54 @@ def frequent(df: DataFrame, fields: Sequence[str], share: float = 0.01, width: i
     if width is None:
         width = 1 << max(6, int(np.ceil(np.log2(5 / share))))
     df = df.select(*[F.col(c).cast("string").alias(c) for c in fields])
-    # the decoded hashes are at most tables * width numbers per field, whatever the data: proven small enough to broadcast
-    found = decode(sketch(df, fields, width, tables), width).groupBy("field").agg(F.map_from_entries(F.collect_list(F.struct("h", "bound"))).alias("hs"))
-    bounds = {r["field"]: r["hs"] for r in found.collect()}
-    out = None
-    for c in fields:
-        known = bounds.get(c, {})
-        spark = df.sparkSession
-        names = F.broadcast(spark.createDataFrame([(int(h), int(b)) for h, b in known.items()] or [(-1, 0)], "h bigint, bound bigint"))
-        rows = df.select(F.col(c).alias("value")).withColumn("h", F.when(F.col("value").isNotNull(), _hash("value"))).join(names, "h", "left")
-        # one group for all rows without a decoded hash: it gives the number of rows in the same pass
-        one = rows.groupBy(F.when(F.col("bound").isNotNull(), F.col("value")).alias("value"), F.col("bound").alias("approx_count")).agg(F.count(F.lit(1)).alias("n"))
-        one = one.withColumn("n_rows", F.sum("n").over(Window.partitionBy(F.lit(1)))).select(F.lit(c).alias("field"), "*")
-        out = one if out is None else out.unionByName(one)
-    limit = F.lit(Decimal(str(share))) * F.col("n_rows").cast("decimal(20,0)")  # exact: a share of just the limit counts
-    return out.where(F.col("value").isNotNull() & (F.col("n") >= limit))
+    schema = "field string, value string, approx_count bigint, n bigint, n_rows bigint"
+    out, todo = [], list(fields)
+    while todo:
+        kept = stage(sketch(df, todo, width, tables), "sketch")
+        bounds: dict[str, dict[int, int]] = {c: {} for c in todo}
+        totals: dict[str, dict[tuple[int, int], int]] = {c: {} for c in todo}
+        # at most tables * width rows a field, whatever the data
+        for r in decode(kept, width).collect():
+            bounds[r["field"]][r["h"]] = r["bound"]
+        for r in kept.select("field", "tab", "bucket", "c0").collect():
+            totals[r["field"]][r["tab"], r["bucket"]] = r["c0"]
+        again = []
+        for c in todo:
+            counted, n_rows = _count(df, c, bounds[c])
+            least = Decimal(str(share)) * n_rows  # exact: a share of just the limit counts
+            if n_rows and not _whole(counted, totals[c], least, width, tables):
+                again.append(c)
+                continue
+            out += [(c, v, bounds[c][h], n, n_rows) for v, h, n in counted if n >= least]
+        todo, width = again, width * 4
+        if todo and width > MAX_WIDTH:
+            raise RuntimeError(f"values of {todo} that differ have one 32-bit hash; their counts can't be told apart")
+    return df.sparkSession.createDataFrame(out, schema)
+
+
+#: Width at which a sketch is given up: colliding totals then can't come from the bucket functions any more.
+MAX_WIDTH = 1 << 16
+
+
+def _count(df: DataFrame, field: str, known: dict[int, int]) -> tuple[list[tuple[str, int, int]], int]:
+    """The verifying pass: (value, hash, rows) of the values whose hash was decoded, and the number of all rows."""
+    spark = df.sparkSession
+    names = F.broadcast(spark.createDataFrame([(int(h),) for h in known] or [(-1,)], "h bigint").withColumn("hit", F.lit(True)))
+    rows = df.select(F.col(field).alias("value")).withColumn("h", F.when(F.col("value").isNotNull(), _hash("value"))).join(names, "h", "left")
+    # one group for all rows without a decoded hash: it gives the number of rows in the same pass
+    got = rows.groupBy(F.when(F.col("hit"), F.col("value")).alias("value"), F.when(F.col("hit"), F.col("h")).alias("h")).agg(F.count(F.lit(1)).alias("n")).collect()
+    return [(r["value"], r["h"], r["n"]) for r in got if r["h"] is not None], sum(r["n"] for r in got)
+
+
+def _whole(counted: list[tuple[str, int, int]], totals: dict[tuple[int, int], int], least: Decimal, width: int, tables: int) -> bool:
+    """Is there a table all of whose buckets are explained by the counted values, but for less than *least* rows each?"""
+    h = np.array([x[1] for x in counted], np.int64)
+    n = np.array([x[2] for x in counted], np.int64)
+    for t in range(tables):
+        explained = np.zeros(width, np.int64)
+        if len(h):
+            np.add.at(explained, _buckets(h, t, width.bit_length() - 1), n)
+        left = max((c0 - int(explained[bucket]) for (tab, bucket), c0 in totals.items() if tab == t), default=0)
+        if left < least:
+            return True
+    return False

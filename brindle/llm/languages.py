@@ -49,14 +49,23 @@ NOTATIONS = {
     "sv": "sv swe swedish svenska",
     "uk": "uk ukr ukrainian українська ua",
 }
-LABELS = {name: code for code, names in NOTATIONS.items() for name in names.split()}
+#: The two-letter codes of ISO 639-1. Languages without notations above are known by their code alone.
+ISO_639_1 = """
+aa ab ae af ak am an ar as av ay az ba be bg bh bi bm bn bo br bs ca ce ch co cr cs cu cv cy da de dv dz ee el en eo es et eu fa ff fi fj fo fr fy
+ga gd gl gn gu gv ha he hi ho hr ht hu hy hz ia id ie ig ii ik io is it iu ja jv ka kg ki kj kk kl km kn ko kr ks ku kv kw ky la lb lg li ln lo lt lu lv
+mg mh mi mk ml mn mr ms mt my na nb nd ne ng nl nn no nr nv ny oc oj om or os pa pi pl ps pt qu rm rn ro ru rw sa sc sd se sg si sk sl sm sn so sq sr ss st su sv sw
+ta te tg th ti tk tl tn to tr ts tt tw ty ug uk ur uz ve vi vo wa wo xh yi yo za zh zu
+"""
+LABELS = {code: code for code in ISO_639_1.split()} | {unicodedata.normalize("NFC", name): code for code, names in NOTATIONS.items() for name in names.split()}
 
 _token = re.compile(r"[^\W\d_](?:[^\W\d_]|-[ \t]*\n[ \t]*(?=[^\W\d_])|[̀-ͯ­​-‍⁠])*|[.!?…;·]+(?=\s|$)|\n[ \t]*\n")
 _noise = re.compile(r"-\s*\n\s*|[­​-‍⁠]")
 
 
 def label_language(label: str | None) -> str | None:
-    """The two-letter code a label names, in any notation ('en', 'EN', 'en-GB', 'eng', 'English', 'Deutsch'); None if it names none of the known languages."""
+    """The two-letter code a label names, in any notation ('en', 'EN', 'en-GB', 'eng', 'English', 'Deutsch'); None if it names no language known here.
+
+    This is the only parser of labels: of the samples' and, in ``wrong_labels``, of the documents'."""
     if label is None:
         return None
     head = re.split(r"[-_ (/]", unicodedata.normalize("NFC", label).strip().casefold(), maxsplit=1)[0]
@@ -146,7 +155,7 @@ class Model:
 
 
 def _em(units: np.ndarray, weights: np.ndarray, rounds: int = 30) -> tuple[float, np.ndarray]:
-    """Log-likelihood and proportions of the mixture of the languages in the columns of units; a unit's part in the proportions is its words."""
+    """By at most ``rounds`` rounds of expectation-maximisation, or until a round gains less than 0.001: log-likelihood and proportions of the mixture of the languages in the columns of units; a unit's part in the proportions is its words."""
     pi = np.full(units.shape[1], 1 / units.shape[1])
     top = units.max(axis=1, keepdims=True)
     like = np.exp(units - top)
@@ -162,8 +171,9 @@ def _em(units: np.ndarray, weights: np.ndarray, rounds: int = 30) -> tuple[float
         pi = np.maximum((joint / total[:, None] * weights[:, None]).sum(axis=0) / weights.sum(), 1e-6)
 
 
-def language_set(units: np.ndarray, weights: np.ndarray, penalty: float = PENALTY) -> list[int]:
-    """The languages of a document (columns of units) by penalised likelihood, the best single one first."""
+def language_set(units: np.ndarray, weights: np.ndarray, penalty: float = PENALTY) -> tuple[list[int], list[float]]:
+    """The languages of a document (columns of units) by penalised likelihood, the best single one first, and their proportions."""
+    shares = [1.0]
     chosen = [int(units.sum(axis=0).argmax())]
     value = float(units[:, chosen[0]].sum())
     while len(chosen) < units.shape[1]:
@@ -172,14 +182,14 @@ def language_set(units: np.ndarray, weights: np.ndarray, penalty: float = PENALT
         best, best_value = -1, value + penalty
         for k in np.nonzero(gain > penalty)[0]:
             if k not in chosen:
-                got, _ = _em(units[:, [*chosen, int(k)]], weights)
+                got, pi = _em(units[:, [*chosen, int(k)]], weights)
                 if got > best_value:
-                    best, best_value = int(k), got
+                    best, best_value, best_shares = int(k), got, pi.tolist()
         if best < 0:
-            return chosen
+            break
         chosen.append(best)
-        value = best_value
-    return chosen
+        value, shares = best_value, best_shares
+    return chosen, shares
 
 
 def _path(rows: np.ndarray, ends: np.ndarray, change: float) -> np.ndarray:
@@ -199,37 +209,57 @@ def _path(rows: np.ndarray, ends: np.ndarray, change: float) -> np.ndarray:
     return out
 
 
-def passages(model: Model, text: str | None, min_passage: int = 120) -> list[tuple[int, int, str, float]]:
-    """Passages (start, end, language, confidence) of the text in order; none for a text without letters.
-
-    A run shorter than half of min_passage between two runs of one language belongs to them (a quotation, a
-    remark). Words without evidence at the end of a run (a list of names) belong to it, but its length in
-    ``text_languages`` is that of the part with evidence: start and end are those of that part.
-    """
+def _document(model: Model, text: str | None) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[int]] | None:
+    """Rows of the words, rows of the units, their words, the units' first words; None for a text without letters."""
     if not text:
-        return []
+        return None
     model.room()
-    ids, starts, at = [], [0], 0
+    ids: list[int] = []
+    starts, known = [0], model._index.get
     for w in _token.findall(text):
-        if w[0].isalpha():
+        i = known(w)
+        if i is not None:
+            ids.append(i)
+        elif w[0].isalpha():
             ids.append(model.index(w))
         elif len(ids) > starts[-1]:
             starts.append(len(ids))
     if not ids:
-        return []
+        return None
     if starts[-1] == len(ids):
         starts.pop()
     rows = model.lines(ids)
-    units = np.add.reduceat(rows, starts, axis=0)
-    weights = np.diff([*starts, len(ids)]).astype(float)
-    chosen = language_set(units, weights)
+    return rows, np.add.reduceat(rows, starts, axis=0), np.diff([*starts, len(ids)]).astype(float), starts
+
+
+def mixture(model: Model, text: str | None) -> list[tuple[str, float]]:
+    """The languages of a text with their proportions of its words, as expectation-maximisation estimates them; none for a text without letters."""
+    got = _document(model, text)
+    if got is None:
+        return []
+    chosen, shares = language_set(got[1], got[2])
+    return [(model.langs[k], x) for k, x in zip(chosen, shares)]
+
+
+def passages(model: Model, text: str | None, min_passage: int = 120) -> list[tuple[int, int, str, float]]:
+    """Passages (start, end, language, confidence) of the text in order; none for a text without letters.
+
+    A run shorter than half of min_passage between two runs of one language belongs to them (a quotation, a
+    remark). Words without evidence at the end of a run (a list of names) belong to it, but its length in
+    ``text_languages`` is that of the part with evidence: start and end are those of that part.
+    """
+    got = _document(model, text)
+    if got is None:
+        return []
+    rows, units, weights, starts = got
+    chosen, _ = language_set(units, weights)
     # posterior of the chosen language against the others
     if len(chosen) == 1:
         total = units.sum(axis=0)
         share = np.exp(total - total.max())
         return [(0, len(text), model.langs[chosen[0]], float(1 / share.sum()))]
     spans = [(m.start(), m.end()) for m in _token.finditer(text) if m.group()[0].isalpha()]
-    first = np.zeros(len(ids), bool)
+    first = np.zeros(len(rows), bool)
     first[starts] = True
     path = _path(rows[:, chosen], first, CHANGE)
     runs: list[list[int]] = []  # language, first word, last word
@@ -282,8 +312,17 @@ PASSAGES = [("passage_no", T.IntegerType()), ("start", T.IntegerType()), ("end",
 _models: dict[int, Model] = {}
 
 
-def passage_rows(docs: DataFrame, samples: Sequence[tuple[str, str]], id_col: str = "doc_id", text_col: str = "text", keep: Sequence[str] = (), min_passage: int = 120) -> DataFrame:
-    """One row per passage: *id_col*, columns *keep*, ``passage_no, start, end`` (code points), ``lang, confidence, counts``.
+def _model(samples: Sequence[tuple[str, str]]) -> Model:
+    """The model of some samples, made once in a process."""
+    key = hash(tuple(samples))
+    if key not in _models:
+        _models.clear()
+        _models[key] = Model(samples)
+    return _models[key]
+
+
+def passage_rows(docs: DataFrame, samples: Sequence[tuple[str, str]], id_col: str = "doc_id", text_col: str = "text", keep: Sequence[str] = (), min_passage: int = 120, label_col: str | None = None) -> DataFrame:
+    """One row per passage: *id_col*, columns *keep*, ``label`` if label_col is given (the language that it names), ``passage_no, start, end`` (code points), ``lang, confidence, counts``.
 
     ``counts``: the language is one of the text's languages (``text_languages``). A null, empty or blank
     text, or one without letters, gives one row with null language and confidence 0. Repeated rows stay;
@@ -291,15 +330,15 @@ def passage_rows(docs: DataFrame, samples: Sequence[tuple[str, str]], id_col: st
     """
     source = spread(docs).select(F.col(id_col), *[F.col(c) for c in keep], F.col(text_col).cast("string").alias("__text"))
     shared = docs.sparkSession.sparkContext.broadcast(list(samples))
-    schema = T.StructType([*source.schema.fields[:-1], *[T.StructField(n, t) for n, t in PASSAGES]])
-    names, width = schema.names, 1 + len(keep)
+    labelled = [T.StructField("label", T.StringType())] if label_col is not None else []
+    if label_col is not None:
+        source = spread(docs).select(F.col(id_col), *[F.col(c) for c in keep], F.col(text_col).cast("string").alias("__text"), F.col(label_col).cast("string").alias("__label"))
+    width = 1 + len(keep)
+    schema = T.StructType([*source.schema.fields[:width], *labelled, *[T.StructField(n, t) for n, t in PASSAGES]])
+    names = schema.names
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key = hash(tuple(shared.value))
-        if key not in _models:
-            _models.clear()
-            _models[key] = Model(shared.value)
-        model = _models[key]
+        model = _model(shared.value)
         for batch in batches:
             at, rows = [], []
             for k, text in enumerate(batch.column(width).to_pylist()):
@@ -308,26 +347,36 @@ def passage_rows(docs: DataFrame, samples: Sequence[tuple[str, str]], id_col: st
                 for x, (a, b, lang, conf) in enumerate(got or [(0, len(text or ""), None, 0.0)]):
                     at.append(k)
                     rows.append((x, a, b, lang, conf, lang in langs))
+            of = [label_language(x) for x in batch.column(width + 1).to_pylist()] if label_col is not None else []
             if at:
                 ids = pa.array(at)
                 cols = list(zip(*rows))
                 kinds = [pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.float64(), pa.bool_()]
-                yield pa.RecordBatch.from_arrays([batch.column(c).take(ids) for c in range(width)] + [pa.array(list(c), t) for c, t in zip(cols, kinds)], names=names)
+                yield pa.RecordBatch.from_arrays([batch.column(c).take(ids) for c in range(width)] + ([pa.array(of, pa.string()).take(ids)] if of else []) + [pa.array(list(c), t) for c, t in zip(cols, kinds)], names=names)
 
     return source.mapInArrow(run, schema)
 
 
-def label_column(col: str) -> "F.Column":
-    """The two-letter code that a label column names, as an expression; null if it names none of the known languages."""
-    head = F.lower(F.element_at(F.split(F.trim(F.regexp_replace(col, r"^\s+|\s+$", "")), r"[-_ (/]"), 1))
-    pairs = [x for name, code in LABELS.items() for x in (F.lit(name), F.lit(code))]
-    return F.element_at(F.create_map(*pairs), head)
+def mixture_rows(docs: DataFrame, samples: Sequence[tuple[str, str]], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """*id_col*, ``lang``, ``proportion``: the estimated mixture of each document; one row with nulls for a text without letters."""
+    source = spread(docs).select(F.col(id_col), F.col(text_col).cast("string").alias("__text"))
+    shared = docs.sparkSession.sparkContext.broadcast(list(samples))
+    schema = T.StructType([source.schema.fields[0], T.StructField("lang", T.StringType()), T.StructField("proportion", T.DoubleType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = _model(shared.value)
+        for batch in batches:
+            got = [(k, *x) for k, text in enumerate(batch.column(1).to_pylist()) for x in (mixture(model, text) or [(None, None)])]
+            if got:
+                at, langs, shares = zip(*got)
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at)), pa.array(langs, pa.string()), pa.array(shares, pa.float64())], names=schema.names)
+
+    return source.mapInArrow(run, schema)
 
 
 def wrong_labels(docs: DataFrame, samples: Sequence[tuple[str, str]], id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang", min_passage: int = 120) -> DataFrame:
     """*id_col*, ``true_lang``: one row per language of each document whose label is missing, names no language or another one, or whose text has several languages."""
-    renamed = docs.select(F.col(id_col), F.col(text_col), label_column(label_col).alias("__label"))
-    rows = passage_rows(renamed, samples, id_col, text_col, ["__label"], min_passage).where("counts").select(id_col, "__label", "lang").distinct()
+    rows = passage_rows(docs.select(id_col, text_col, label_col), samples, id_col, text_col, (), min_passage, label_col).where("counts").select(id_col, F.col("label").alias("__label"), "lang").distinct()
     # number of languages of a document: at most that of the model's, so a group is small
     per = rows.groupBy(id_col, "__label").agg(F.collect_set("lang").alias("__langs"))
     wrong = (F.size("__langs") > 1) | F.col("__label").isNull() | (F.col("__label") != F.col("__langs")[0])

@@ -35,13 +35,22 @@ def p1_by_load(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p2_frequent(spark: SparkSession, d: str) -> DataFrame:
-    """Frequent cities, companies (people_generator) and addresses (top500) with the sketch's and the exact count."""
+    """Frequent cities, companies (people_generator) and addresses (top500) with their counts."""
+    return _frequent(spark, d).select("field", "value", "n", "n_rows")
+
+
+def p2_estimates(spark: SparkSession, d: str) -> DataFrame:
+    """The same with the sketch's own estimate, which is never below the exact count."""
+    return _frequent(spark, d)
+
+
+def _frequent(spark: SparkSession, d: str) -> DataFrame:
     people = frequent.frequent(table(spark, d, "people_generator"), ["city", "company"])
     return people.unionByName(frequent.frequent(table(spark, d, "top500"), ["url"]))
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
-    return p2_frequent(spark, d).select("field", "value")
+    return _frequent(spark, d).select("field", "value")
 
 
 def p3_distinct(spark: SparkSession, d: str) -> DataFrame:
@@ -51,7 +60,7 @@ def p3_distinct(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p3_merged_loads(spark: SparkSession, d: str) -> DataFrame:
-    """The same from registers kept per load_no and merged."""
+    """The same from registers kept per load_no and merged. Most (day, country, load) groups use few of their registers, so rows of used ones are kept, not packed ones."""
     people = table(spark, d, "people_generator").select("session_id", "country", utc_day("time").alias("utc_day"), "load_no")
     kept = stage(cardinality.registers(people, "session_id", [*P3_KEYS, "load_no"]), "p3-loads")
     return cardinality.from_registers(cardinality.merge(kept, keys=P3_KEYS), P3_KEYS, P3_LEVELS)
@@ -89,6 +98,25 @@ def p8_passages(spark: SparkSession, d: str) -> DataFrame:
     return languages.passage_rows(table(spark, d, "documents"), languages.fit(table(spark, d, "lang_samples")))
 
 
+def p8_mixture(spark: SparkSession, d: str) -> DataFrame:
+    """The estimated proportions of the languages of every document."""
+    return languages.mixture_rows(table(spark, d, "documents"), languages.fit(table(spark, d, "lang_samples")))
+
+
+def p3_error(spark: SparkSession, d: str) -> DataFrame:
+    """Every estimate against the exact count: is it within four standard errors (and one, for small groups)?"""
+    people = table(spark, d, "people_generator").select("session_id", "country", utc_day("time").alias("utc_day"))
+    near = cardinality.distinct_counts(people, "session_id", P3_KEYS, P3_LEVELS)
+    exact = None
+    for level, own in P3_LEVELS.items():
+        part = people.where("session_id is not null").groupBy(*own).agg(F.countDistinct("session_id").alias("n"))
+        part = part.select(F.lit(level).alias("level"), *[F.col(k) if k in own else F.lit(None).cast(people.schema[k].dataType).alias(k) for k in P3_KEYS], "n")
+        exact = part if exact is None else exact.unionByName(part)
+    both = near.alias("e").join(exact.alias("x"), (F.col("e.level") == F.col("x.level")) & F.col("e.utc_day").eqNullSafe(F.col("x.utc_day")) & F.col("e.country").eqNullSafe(F.col("x.country")))
+    within = F.abs(F.col("approx_distinct") - F.col("n")) <= F.greatest(F.lit(1.0), 4 * F.col("std_error") * F.col("n"))
+    return both.select("e.level", "e.utc_day", "e.country", "n", within.alias("within"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "p1_percentiles": p1_percentiles,
@@ -96,6 +124,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "p1_by_load": p1_by_load,
         "p2_found": p2_found,
         "p2_frequent": p2_frequent,
+        "p2_estimates": p2_estimates,
         "p3_distinct": p3_distinct,
         "p3_merged_loads": p3_merged_loads,
         "p6_ids": p6_ids,
@@ -104,6 +133,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "p7_items": p7_items,
         "p8_found": p8_found,
         "p8_passages": p8_passages,
+        "p8_mixture": p8_mixture,
+        "p3_error": p3_error,
     }
 
 
@@ -138,5 +169,20 @@ select 'url', url from top500 where url is not null group by url having count(*)
 """
 
 
+_P2_COUNTS = """
+select field, value, n, n_rows from (
+  select 'city' as field, city as value, count(*) as n, (select count(*) from people_generator) as n_rows from people_generator group by city
+  union all select 'company', company, count(*), (select count(*) from people_generator) from people_generator group by company
+  union all select 'url', url, count(*), (select count(*) from top500) from top500 group by url) x
+where value is not null and n >= 0.01 * n_rows
+"""
+_P3_ERROR = """
+with p as (select session_id, country, cast(floor(time / 86400.0) as bigint) as utc_day from people_generator where session_id is not null)
+select 'day' as level, utc_day, cast(null as varchar) as country, count(distinct session_id) as n, true as within from p group by utc_day
+union all select 'country', null, country, count(distinct session_id), true from p group by country
+union all select 'day_country', utc_day, country, count(distinct session_id), true from p group by utc_day, country
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"p1_percentiles": _P1, "p1_merged_loads": _P1, "p1_by_load": _P1_LOAD, "p2_found": _P2, "p6_decoded": "select doc_id, coalesce(text, '') as text from documents"}
+    return {"p2_frequent": _P2_COUNTS, "p3_error": _P3_ERROR, "p1_percentiles": _P1, "p1_merged_loads": _P1, "p1_by_load": _P1_LOAD, "p2_found": _P2, "p6_decoded": "select doc_id, coalesce(text, '') as text from documents"}

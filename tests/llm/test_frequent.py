@@ -56,3 +56,9 @@ def test_values_that_share_a_hash_are_told_apart(spark, monkeypatch):
     data = [("aa", "", "", 0, 0, "")] * 60 + [("bb", "", "", 0, 0, "")] * 39 + [("c", "", "", 0, 0, "")]
     got = Q.frequent(spark.createDataFrame(data, SCHEMA), ["city"])
     assert sorted((r["value"], r["n"]) for r in got.collect()) == [("aa", 60), ("bb", 39), ("c", 1)]
+
+
+def test_values_that_collide_in_every_table_are_found_with_a_wider_sketch(spark):
+    data = [(v, "", "", 0, 0, "") for v, n in (("a", 40), ("b", 30), ("c", 30), ("d", 25), ("e", 25)) for _ in range(n)]
+    got = Q.frequent(spark.createDataFrame(data, SCHEMA), ["city"], width=2, tables=1)
+    assert sorted((r["value"], r["n"]) for r in got.collect()) == [("a", 40), ("b", 30), ("c", 30), ("d", 25), ("e", 25)]

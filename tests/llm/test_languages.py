@@ -1,3 +1,5 @@
+import unicodedata
+
 import numpy as np
 import pytest
 
@@ -53,16 +55,40 @@ def test_no_letters(samples):
 
 def test_mixture_by_penalised_likelihood():
     units = np.array([[0.0, -30, -30], [-30, 0, -30], [0, -30, -30], [-1, -1, 0]])
-    assert sorted(G.language_set(units, np.ones(4))) == [0, 1]
+    chosen, shares = G.language_set(units, np.ones(4))
+    assert sorted(chosen) == [0, 1] and abs(sum(shares) - 1) < 1e-6
     value, pi = G._em(units[:, :2], np.ones(4))
     assert abs(pi[0] - 0.625) < 0.05 and value < 0
 
 
-@pytest.mark.parametrize("label,want", [("en", "en"), (" EN ", "en"), ("en-GB", "en"), ("de_DE", "de"), ("eng", "en"), ("Deutsch", "de"), ("french", "fr"), ("Ukrainian", "uk"), ("ελληνικά", "el"), ("und", None), ("mul", None), ("zxx", None), ("?", None), ("", None), (None, None), ("xx", None), ("fi", None)])
-def test_labels(spark, label, want):
-    assert G.label_language(label) == want
-    got = spark.createDataFrame([(label,)], "lang string").select(G.label_column("lang")).first()[0]
-    assert got == want
+LABELS = [
+    ("en", "en"), (" EN ", "en"), ("en-GB", "en"), ("de_DE", "de"), ("eng", "en"), ("Deutsch", "de"), ("french", "fr"), ("Ukrainian", "uk"), ("ελληνικά", "el"), ("und", None),
+    ("mul", None), ("zxx", None), ("?", None), ("", None), (None, None), ("xx", None), ("fi", "fi"), ("it", "it"), *[(unicodedata.normalize("NFD", x), y) for x, y in (("français", "fr"), ("español", "es"), ("українська", "uk"), ("português", "pt"))],
+]
+
+
+def test_labels(spark, samples):
+    assert [G.label_language(x) for x, _ in LABELS] == [y for _, y in LABELS]
+    df = spark.createDataFrame([(k, "and so on", x) for k, (x, _) in enumerate(LABELS)], "doc_id bigint, text string, lang string")
+    got = {r["doc_id"]: r["label"] for r in G.passage_rows(df, samples, label_col="lang").collect()}
+    assert [got[k] for k in range(len(LABELS))] == [y for _, y in LABELS]
+
+
+def test_a_language_that_only_the_samples_have(spark, samples):
+    more = [*samples, *[("it", t) for t in ("il gatto della casa mangia sotto il tavolo e non vuole uscire perché piove molto", "questa mattina abbiamo parlato della scuola e del lavoro con gli amici")]]
+    df = spark.createDataFrame([("it", "il tavolo della scuola"), ("Quenya", "x"), (None, "y")], "lang string, text string")
+    assert G.fit(df) == [("it", "il tavolo della scuola")]
+    text = "abbiamo parlato del gatto della casa e della scuola perché piove molto sotto il tavolo"
+    docs = spark.createDataFrame([(1, text, "it"), (2, text, "es")], "doc_id bigint, text string, lang string")
+    assert [tuple(r) for r in G.wrong_labels(docs, more).collect()] == [(2, "it")]
+
+
+def test_proportions(spark, samples):
+    en, de = texts(samples, "en", 400), texts(samples, "de", 200)
+    df = spark.createDataFrame([(1, f"{en} {de}"), (2, en), (3, None), (4, "12")], "doc_id bigint, text string")
+    got = {(r["doc_id"], r["lang"]): r["proportion"] for r in G.mixture_rows(df, samples).collect()}
+    assert got.keys() == {(1, "en"), (1, "de"), (2, "en"), (3, None), (4, None)}
+    assert got[2, "en"] == 1.0 and 0.5 < got[1, "en"] < 0.85 and abs(got[1, "en"] + got[1, "de"] - 1) < 1e-6
 
 
 def test_table(spark, samples):
