@@ -49,7 +49,7 @@ class Query:
     def order_by(self, column: str, ascending: bool = False) -> Query:
         return self._with(sort=column, sort_asc=ascending)
 
-    def limit(self, n: int) -> Query:
+    def limit(self, n: int | None) -> Query:
         return self._with(limit=n)
 
     def samples(self, *columns: str) -> Query:

@@ -50,6 +50,7 @@ class Table:
     def __init__(self, spark: SparkSession, root: str, name: str):
         self.spark, self.name, self.path = spark, name, f"{root.rstrip('/')}/{name}"
         self.files = Files(spark)
+        self.log_files: int | None = None  # None: LOG_FILES
         self.lease_seconds = 120.0  # a writer that gave no sign of life for so long counts as dead
 
     # -- catalog ---------------------------------------------------------------------------------
@@ -125,7 +126,7 @@ class Table:
         """Digest if the log has grown past the limits."""
         dirs = self._log_dirs()
         n = sum(1 for d in dirs for x in self.files.list(d) if x[0].endswith(".parquet"))
-        if n > LOG_FILES or self.files.size(f"{self.path}/log") > LOG_BYTES:
+        if n > (self.log_files or LOG_FILES) or self.files.size(f"{self.path}/log") > LOG_BYTES:
             self.digest(time_col)
             return True
         return False

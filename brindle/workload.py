@@ -105,6 +105,7 @@ _add("time_rollup_negative", _spec(hosts, time=True, time_bucket=604800), f"sele
 _add("time_filter_aligned", _spec(events, int="value", time=True, time_bucket=86400, int_filter="time:gt:1704500000"), f"with {_E} select time // 86400 * 86400 as time_bucket, {_mean('value')}, {_N} from e where time > 1704500000 // 86400 * 86400 group by 1")
 
 # -- distinct -----------------------------------------------------------------------------------------------
+_add("distinct_tuple_tabs", lambda spark, d: compile_query(QuerySpec(op="distinct", distincts=("x", "y"), exact_distinct=True, limit=None), events(spark, d).selectExpr("concat(event_type, if(user_id % 2 = 0, '\t', ''), 'a') as x", "concat(if(user_id % 2 = 0, '', '\t'), cast(user_id as string)) as y")), "select count(*) as \"Distinct\", count(*) as \"Count\" from (select distinct event_type, user_id from events)")
 _add("distinct_tuple", _spec(events, distinct="event_type,user_id", op="distinct", exact_distinct=True), f"with {_E}, x as (select count(distinct concat_ws(chr(9), event_type, cast(user_id as varchar))) as n from e) select n as \"Distinct\", n as \"Count\" from x")
 _add("distinct_missing", _spec(hosts, group="status", distinct="host", op="distinct", exact_distinct=True), "select coalesce(status, '') as status, count(distinct coalesce(host, '')) as \"Distinct\", count(distinct coalesce(host, '')) as \"Count\" from host_generator group by 1")
 _add("distinct_by_group", _spec(events, group="event_type", distinct="user_id", op="distinct", exact_distinct=True), f"with {_E} select event_type, count(distinct user_id) as \"Distinct\", count(distinct user_id) as \"Count\" from e group by 1")
@@ -136,11 +137,17 @@ def _bucketed(column: str, groups: list[str], source, **spec) -> Callable[[Spark
 _LAYOUT = """m as (select min(v) as mn, max(v) as mx from t), p as (select mn, mx,
   case when (mx - mn) // 1000 > 0 then (mx - mn) // 1000 when mx - mn < 100 then 1 else (mx - mn) // 100 end as bs,
   case when (mx - mn) // 1000 > 0 then 1000 when mx - mn < 100 then mx - mn else (mx - mn) // ((mx - mn) // 100) end + 2 as n from m)"""
+# extents without outliers: values by sign and digits; classes at an end with at most one value in 200 are left out
+_ROBUST = """cl as (select case when v < 0 then 1 - length(cast(v as varchar)) else length(cast(v as varchar)) end as size, count(*) as n, min(v) as a, max(v) as z from t where v is not null group by 1),
+  cu as (select *, sum(n) over (order by size) as up, sum(n) over (order by size desc) as down, sum(n) over () as total from cl),
+  m as (select min(a) as mn, max(z) as mx from cu where up * 200 > total and down * 200 > total)"""
+_LAYOUT_ROBUST = _LAYOUT.replace("m as (select min(v) as mn, max(v) as mx from t)", _ROBUST)
+_BUCKETS_ROBUST = _LAYOUT_ROBUST + ", b as (select g, greatest(0, least((v - mn) // bs, n - 1)) * bs + mn as edge, sum(w) as c from t, p where v is not null group by 1, 2)"
 _BUCKETS = _LAYOUT + ", b as (select g, least((v - mn) // bs, n - 1) * bs + mn as edge, sum(w) as c from t, p where v is not null group by 1, 2)"
 _PERCENT = """, x as (select g, edge, c, 100 * sum(c) over (partition by g order by edge) // sum(c) over (partition by g) as pk from b),
 i as (select unnest(range(0, 100)) as ip) select g as {g}, cast(ip as integer) as ip, cast(min(edge) as bigint) as v from x, i where pk > ip group by g, ip"""
 _add("hist_percentiles", _exploded("value", ["event_type"], events), f"with {_E}, t as (select value as v, event_type as g, 1 as w from e), {_BUCKETS}{_PERCENT.format(g='event_type')}")
-_add("hist_percentiles_missing", _exploded("ping", ["status"], hosts, int_filter="ping:lt:100000"), f"with t0 as (select ping as v, coalesce(status, '') as g, 1 as w from host_generator), t as (select * from t0), {_LAYOUT}, b as (select g, least((v - mn) // bs, n - 1) * bs + mn as edge, sum(w) as c from t, p where v < 100000 group by 1, 2){_PERCENT.format(g='status')}")
+_add("hist_percentiles_missing", _exploded("ping", ["status"], hosts, skip_outliers=True), f"with t as (select ping as v, coalesce(status, '') as g, 1 as w from host_generator), {_BUCKETS_ROBUST}{_PERCENT.format(g='status')}")
 _add("hist_percentiles_weighted", _exploded("l_extendedprice", ["l_returnflag"], lineitem, weight_col="l_quantity"), f"with {_L}, t as (select l_extendedprice as v, l_returnflag as g, l_quantity as w from l), {_BUCKETS}{_PERCENT.format(g='l_returnflag')}")
 _add("hist_buckets", _bucketed("l_extendedprice", ["l_returnflag"], lineitem), f"with {_L}, t as (select l_extendedprice as v, l_returnflag as g, 1 as w from l), {_BUCKETS} select g as l_returnflag, cast(cast(edge as bigint) as varchar) as edge, cast(c as bigint) as n from b")
 _add("hist_int_bucket", _bucketed("l_extendedprice", ["l_linestatus"], lineitem, int_bucket=5000), f"with {_L}, m as (select min(l_extendedprice) as mn from l) select l_linestatus, cast(least((l_extendedprice - mn) // 5000, 1001) * 5000 + mn as varchar) as edge, count(*) as n from l, m group by 1, 2")
@@ -284,20 +291,24 @@ def _trim(spark: SparkSession, d: str) -> DataFrame:
 
 
 _add("trim_before", _trim, f"with {_E} select event_type, {_N} from e where time >= (select min(time) // 86400 * 86400 + 86400 from e) group by 1")
-_add("icc", lambda spark, d: icc(hosts(spark, d).where("ping between 0 and 100000"), ["status"], "ping").select("n", "k", F.round("ms_between", 2).alias("ms_between"), F.round("ms_within", 2).alias("ms_within"), F.round("icc", 6).alias("icc")), "with v as (select status, ping from host_generator where ping between 0 and 100000), g as (select status, count(*) as n, avg(ping) as m, var_pop(ping) as s from v group by 1), a as (select sum(n) as n, count(*) as k, sum(n * m) / sum(n) as mm, sum(n * m * m) as q, sum(n * s) as w from g), f as (select n, k, (q - n * mm * mm) / (k - 1) as b, w / (n - k) as w from a) select cast(n as bigint) as n, k, round(b, 2) as ms_between, round(w, 2) as ms_within, round(b / (b + w), 6) as icc from f")
+# the mean squares of pings with sentinels have 15 digits and more: their logarithms are compared
+_add("icc", lambda spark, d: icc(hosts(spark, d), ["status"], "ping").select("n", "k", F.round(F.log10("ms_between"), 5).alias("log_between"), F.round(F.log10("ms_within"), 5).alias("log_within"), F.round("icc", 5).alias("icc")), "with v as (select status, ping from host_generator where ping is not null), g as (select status, count(*) as n, avg(ping) as m, var_pop(ping) as s from v group by 1), a as (select sum(n) as n, count(*) as k, sum(n * m) / sum(n) as mm, sum(n * m * m) as q, sum(n * s) as w from g), f as (select n, k, (q - n * mm * mm) / (k - 1) as b, w / (n - k) as w from a) select cast(n as bigint) as n, k, round(log10(b), 5) as log_between, round(log10(w), 5) as log_within, round(b / (b + w), 5) as icc from f")
 
 # -- the 15 shapes of the host workload ---------------------------------------------------------------------------------
 _H = "h as (select coalesce(host, '') as host, coalesce(status, '') as status, host as h0, ping, time from host_generator)"
 _add("w01_count", _spec(hosts), f"select {_N} from host_generator")
 _add("w02_avg", _spec(hosts, int="ping"), f"select {_mean('ping')}, {_N} from host_generator")
-_add("w03_hist", lambda spark, d: _spec(hosts, op="hist", int="ping", loghist=True)(spark, d).select(F.posexplode("ping.percentiles").alias("ip", "v")), f"with recursive t as (select ping as v, 0 as g, 1 as w from host_generator where ping is not null), {_RANGES}{_PERCENT.format(g='gg').replace('g as gg, ', '')}")
+_add("w03_hist", lambda spark, d: _spec(hosts, op="hist", int="ping", skip_outliers=True)(spark, d).select(F.posexplode("ping.percentiles").alias("ip", "v")), f"with t as (select ping as v, 0 as g, 1 as w from host_generator where ping is not null), {_BUCKETS_ROBUST}{_PERCENT.format(g='gg').replace('g as gg, ', '')}")
+_add("loghist_total", lambda spark, d: _spec(hosts, op="hist", int="ping", loghist=True)(spark, d).select(F.posexplode("ping.percentiles").alias("ip", "v")), f"with recursive t as (select ping as v, 0 as g, 1 as w from host_generator where ping is not null), {_RANGES}{_PERCENT.format(g='gg').replace('g as gg, ', '')}")
 _add("w04_avg_6h", _spec(hosts, int="ping", time=True, time_bucket=21600), f"select time // 21600 * 21600 as time_bucket, {_mean('ping')}, {_N} from host_generator where time is not null group by 1")
 _add("w05_group_host", _spec(hosts, group="host"), f"with {_H} select host, {_N} from h group by 1")
-_add("w06_distinct_host", _spec(hosts, op="distinct", distinct="host", exact_distinct=True), f"with {_H} select count(distinct host) as \"Distinct\", count(distinct host) as \"Count\" from h")
-_add("w07_distinct_host_6h", _spec(hosts, op="distinct", distinct="host", exact_distinct=True, time=True, time_bucket=21600), f"with {_H} select time // 21600 * 21600 as time_bucket, count(distinct host) as \"Distinct\", count(distinct host) as \"Count\" from h where time is not null group by 1")
+_add("w06_distinct_host", _spec(hosts, op="distinct", distinct="host"))
+_add("distinct_host_exact", _spec(hosts, op="distinct", distinct="host", exact_distinct=True), f"with {_H} select count(distinct host) as \"Distinct\", count(distinct host) as \"Count\" from h")
+_add("w07_distinct_host_6h", _spec(hosts, op="distinct", distinct="host", time=True, time_bucket=21600))
+_add("distinct_host_6h_exact", _spec(hosts, op="distinct", distinct="host", exact_distinct=True, time=True, time_bucket=21600), f"with {_H} select time // 21600 * 21600 as time_bucket, count(distinct host) as \"Distinct\", count(distinct host) as \"Count\" from h where time is not null group by 1")
 _add("w08_avg_host", _spec(hosts, group="host", int="ping"), f"with {_H} select host, {_mean('ping')}, {_N} from h group by 1")
 _add("w09_avg_host_limit", _spec(hosts, group="host", int="ping", limit=10), f"with {_H} select host, {_mean('ping')}, {_N} from h group by 1 order by count(*) desc, host limit 10")
-_add("w10_hist_host", _exploded("ping", ["host"], hosts), f"with {_H}, t as (select ping as v, host as g, 1 as w from h), {_BUCKETS}{_PERCENT.format(g='host')}")
+_add("w10_hist_host", _exploded("ping", ["host"], hosts, skip_outliers=True), f"with {_H}, t as (select ping as v, host as g, 1 as w from h), {_BUCKETS_ROBUST}{_PERCENT.format(g='host')}")
 _add("w11_avg_host_regex", _spec(hosts, group="host", int="ping", str_filter="host:re:^(web|db)[0-9]+"), f"with {_H} select host, {_mean('ping')}, {_N} from h where regexp_matches(h0, '^(web|db)[0-9]+') group by 1")
 _add("w12_group_host_status", _spec(hosts, group="host,status"), f"with {_H} select host, status, {_N} from h group by 1, 2")
 _add("w13_avg_host_status", _spec(hosts, group="host,status", int="ping"), f"with {_H} select host, status, {_mean('ping')}, {_N} from h group by 1, 2")
